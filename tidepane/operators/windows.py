@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepane.functions.aggregates import check_aggregate, final, from_partials
+from tidepane.functions.aggregates import check_aggregate, final
 from tidepane.functions.timegrid import (
     duration_us,
     from_micros,
@@ -105,11 +105,9 @@ def window_at(
     first = F.ceil((at - width_us - origin) / slide_us)
     last = F.floor((at - origin) / slide_us)
     candidates = probes.select(probe).distinct().withColumn(
-        "_start",
-        F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array()))
-        * F.lit(slide_us)
-        + origin,
+        "_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array()))
     )
+    candidates = candidates.select(probe, (F.col("_k") * slide_us + origin).alias("_start"))
     active = (
         candidates.join(open_windows, "_start")
         .groupBy(probe, *by)

@@ -3,6 +3,7 @@
 from importlib import import_module
 
 _MODULES = [
+    "triple_queries",
     "window_queries",
 ]
 
