@@ -5,6 +5,8 @@ from importlib import import_module
 _MODULES = [
     "triple_queries",
     "window_queries",
+    "merge_queries",
+    "profile_queries",
 ]
 
 

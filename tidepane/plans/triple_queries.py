@@ -43,7 +43,7 @@ def _triples(spark, sf_dir):
 def a1(spark, sf_dir):
     """Observations written as text, six statements per line, and read back as triples."""
     path = staging_path(spark, "nt")
-    nt.to_lines(_triples(spark, sf_dir)).write.text(path)
+    nt.to_lines(observations(spark, sf_dir)).write.text(path)
     return nt.read_nt(spark, path).select("s", "p", "o", "o_type")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepane.functions.messages import HAS_VALUE, SAREF, XSD_FLOAT
@@ -63,32 +63,47 @@ def read_nt(spark: SparkSession, path: str) -> DataFrame:
     return parse_nt(spark.read.text(path))
 
 
-def nt_statement(s="s", p="p", o="o", o_type="o_type"):
-    """One triple row as text."""
+def nt_statement(s: Column, p: Column, o: Column, o_type: Column) -> Column:
+    """One triple as text."""
     def node(col):
-        return F.when(F.col(col).startswith("_:"), F.col(col)).otherwise(
-            F.concat(F.lit("<"), F.col(col), F.lit(">"))
-        )
+        return F.when(col.startswith("_:"), col).otherwise(F.concat(F.lit("<"), col, F.lit(">")))
 
     escaped = F.regexp_replace(o, r'(["\\])', r"\\$1")
-    literal = F.concat(F.lit('"'), escaped, F.lit('"^^<'), F.col(o_type), F.lit(">"))
-    term = F.when(F.col(o_type).isin(IRI, BLANK), node(o)).otherwise(literal)
-    return F.concat(node(s), F.lit(" <"), F.col(p), F.lit("> "), term, F.lit(" ."))
-
-
-def to_lines(triples: DataFrame) -> DataFrame:
-    """Triples as text, all statements of a subject on one line."""
-    return (
-        triples.withColumn("_st", nt_statement())
-        .groupBy("s")
-        .agg(F.array_join(F.sort_array(F.collect_list("_st")), " ").alias("value"))
-        .select("value")
+    literal = F.concat(F.lit('"'), escaped, F.lit('"^^<'), o_type, F.lit(">"))
+    term = F.when(o_type.isin(IRI, BLANK), node(o)).otherwise(literal)
+    return F.concat(node(s), F.lit(" <"), p, F.lit("> "), term, F.lit(" ."))
+
+
+def _statements(obs: DataFrame):
+    """The six (predicate, object, object type) parts of an observation."""
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    terms = [
+        (IN_DATASET, F.col("dataset"), IRI),
+        (MADE_BY, F.col("device"), IRI),
+        (VERSION_OF, F.col("obs_type"), IRI),
+        (PROPERTY, F.col("property"), IRI),
+        (TIMESTAMP, stamp, XSD_DATETIME),
+        (HAS_VALUE, F.col("value").cast("string"), XSD_FLOAT),
+    ]
+    return F.array(
+        *[
+            F.struct(F.col("subject").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type"))
+            for p, o, kind in terms
+        ]
     )
 
 
+def to_lines(obs: DataFrame) -> DataFrame:
+    """Observations as text, the six statements of a subject on one line. No shuffle."""
+    texts = F.transform(_statements(obs), lambda t: nt_statement(t.s, t.p, t.o, t.o_type))
+    return obs.select(F.array_join(texts, " ").alias("value"))
+
+
 def write_nt(triples: DataFrame, path: str) -> None:
     """One statement per line; no shuffle."""
-    triples.select(nt_statement().alias("value")).write.text(path)
+    triples.select(
+        nt_statement(F.col("s"), F.col("p"), F.col("o"), F.col("o_type")).alias("value")
+    ).write.text(path)
 
 
 def to_observations(triples: DataFrame, topic: str | None = None) -> DataFrame:
@@ -112,21 +127,6 @@ def to_observations(triples: DataFrame, topic: str | None = None) -> DataFrame:
 
 def to_triples(obs: DataFrame) -> DataFrame:
     """Six triples per observation, with the topic as graph. A narrow step: no shuffle."""
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    terms = [
-        (IN_DATASET, F.col("dataset"), IRI),
-        (MADE_BY, F.col("device"), IRI),
-        (VERSION_OF, F.col("obs_type"), IRI),
-        (PROPERTY, F.col("property"), IRI),
-        (TIMESTAMP, stamp, XSD_DATETIME),
-        (HAS_VALUE, F.col("value").cast("string"), XSD_FLOAT),
-    ]
-    po = F.array(
-        *[
-            F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type"))
-            for p, o, kind in terms
-        ]
-    )
     return obs.select(
-        F.col("subject").alias("s"), F.explode(po).alias("_t"), F.col("topic").alias("g")
-    ).select("s", "_t.p", "_t.o", "_t.o_type", "g")
+        F.explode(_statements(obs)).alias("_t"), F.col("topic").alias("g")
+    ).select("_t.s", "_t.p", "_t.o", "_t.o_type", "g")
