@@ -7,6 +7,8 @@ _MODULES = [
     "window_queries",
     "merge_queries",
     "profile_queries",
+    "accuracy_queries",
+    "stream_queries",
 ]
 
 
