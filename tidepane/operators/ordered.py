@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MAX_GROUP_ROWS = 4_000_000
 # Longest list that a map-side group limit can bound before the shuffle (Spark's own threshold).
 GROUP_LIMIT = 1000
 SALTS = 64
+# More range blocks than this cost more in shuffle bookkeeping than smaller sorts save.
+MAX_BLOCKS = 50_000
 
 _BLOCK = "_block"
 
@@ -47,10 +50,14 @@ class Blocks:
         return df.drop(_BLOCK)
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest group. Reads only the key columns, counted before the shuffle."""
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Row counts of the largest group and of all groups.
+
+    Reads only the key columns, counted before the shuffle.
+    """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def to_blocks(
@@ -62,10 +69,13 @@ def to_blocks(
     keys can be spread over several blocks too.
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if largest_group(df, by) <= limit:
+    largest, total = group_sizes(df, by)
+    if largest <= limit:
         return Blocks(df, tuple(by), tuple(order), False)
-    # The checkpoint fixes block numbers: both uses below must see the same range borders.
-    ranged = df.repartitionByRange(*by, *order).withColumn(_BLOCK, F.spark_partition_id())
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(default, min(ceil(2 * total / limit), MAX_BLOCKS))
+    ranged = df.repartitionByRange(blocks, *by, *order).withColumn(_BLOCK, F.spark_partition_id())
+    # The checkpoint fixes block numbers: all uses below must see the same range borders.
     return Blocks(cut_lineage(ranged), tuple(by), tuple(order), True)
 
 
@@ -180,7 +190,7 @@ def trailing_frames(
     halo = max(rows for _, rows in frames.values()) - 1
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
     numbered = ordinal(df, by, order, "_n", max_group_rows)
-    if largest_group(df, by) <= limit:
+    if group_sizes(df, by)[0] <= limit:
         keys, out = list(by), numbered
     else:
         chunk_rows = max(min(chunk_rows, limit), halo + 1)

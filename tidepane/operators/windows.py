@@ -27,19 +27,34 @@ DIRECT_FAN_OUT = 4
 
 
 def window_column(width: str | int, slide: str | int, ts: str = "ts") -> Column:
+    """The windows of a time; for a slide wider than the window, the period it starts."""
     width_us, slide_us = duration_us(width), duration_us(slide)
-    return F.window(
-        ts, interval(width_us), interval(slide_us), interval(start_offset_us(width_us, slide_us))
-    )
+    offset = interval(start_offset_us(width_us, slide_us))
+    return F.window(ts, interval(max(width_us, slide_us)), interval(slide_us), offset)
+
+
+def _covered(df: DataFrame, width: str | int, slide: str | int, ts: str = "ts") -> DataFrame:
+    """Rows that lie in some window: all of them, unless there are gaps between windows."""
+    width_us, slide_us = duration_us(width), duration_us(slide)
+    if slide_us <= width_us:
+        return df
+    since_start = F.pmod(micros(ts) - start_offset_us(width_us, slide_us), F.lit(slide_us))
+    return df.filter(since_start < width_us)
+
+
+def _borders(df: DataFrame, window: str, width: str | int, slide: str | int) -> dict[str, Column]:
+    start, end = F.col(f"{window}.start"), F.col(f"{window}.end")
+    width_us = duration_us(width)
+    if duration_us(slide) > width_us:
+        dtype = df.select(start).schema[0].dataType.simpleString()
+        end = from_micros(micros(start) + width_us, dtype)
+    return {"w_start": start, "w_end": end}
 
 
 def assign_windows(df: DataFrame, width: str | int, slide: str | int, ts: str = "ts") -> DataFrame:
     """One row per (row, window that contains it), with ``w_start`` and ``w_end``."""
-    return (
-        df.withColumn("_w", window_column(width, slide, ts))
-        .withColumns({"w_start": F.col("_w.start"), "w_end": F.col("_w.end")})
-        .drop("_w")
-    )
+    assigned = _covered(df, width, slide, ts).withColumn("_w", window_column(width, slide, ts))
+    return assigned.withColumns(_borders(assigned, "_w", width, slide)).drop("_w")
 
 
 def sliding_agg(
@@ -56,22 +71,17 @@ def sliding_agg(
     form also works on a streaming DataFrame.
     """
     check_aggregate(agg)
-    width_us, slide_us = duration_us(width), duration_us(slide)
-    fan_out = width_us / slide_us
+    fan_out = duration_us(width) / duration_us(slide)
     if fan_out > DIRECT_FAN_OUT and not obs.isStreaming:
         partial = pane_partials(obs, [width, slide], by, scale)
         return rollup(partial, width, slide, agg, by, scale)
-    return (
-        obs.groupBy(window_column(width, slide), *by)
+    grouped = (
+        _covered(obs, width, slide)
+        .groupBy(window_column(width, slide), *by)
         .agg(final(agg, "value", scale).alias("value"), F.count("value").alias("n"))
-        .select(
-            *by,
-            F.col("window.start").alias("w_start"),
-            F.col("window.end").alias("w_end"),
-            "value",
-            "n",
-        )
     )
+    borders = _borders(grouped, "window", width, slide)
+    return grouped.select(*by, *[c.alias(name) for name, c in borders.items()], "value", "n")
 
 
 def tumbling_agg(
