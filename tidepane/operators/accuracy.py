@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.grades import accuracy_metrics as metric_columns
 from tidepane.functions.grades import percentage_error
 from tidepane.operators.ordered import first_n, ordinal, quantile, value_at_rank, value_ranks
+from tidepane.session import cut_lineage
 
 
 def align_by_ordinal(
@@ -22,9 +23,17 @@ def align_by_ordinal(
     value_b: str = "value",
     max_group_rows: int | None = None,
 ) -> DataFrame:
-    """Pair the n-th rows of two series; the longer one is cut: ``(*by, ord, truth, approx)``."""
-    left = ordinal(a, by, order_a, "ord", max_group_rows).select(*by, "ord", F.col(value_a).alias("truth"))
-    right = ordinal(b, by, order_b, "ord", max_group_rows).select(*by, "ord", F.col(value_b).alias("approx"))
+    """Pair the n-th rows of two series; the longer one is cut: ``(*by, ord, truth, approx)``.
+
+    Result series are small against the streams they come from, so each is computed once and saved
+    before its groups are measured and numbered.
+    """
+    def numbered(df, order, value, name):
+        series = cut_lineage(df.select(*by, *order, F.col(value).alias(name)))
+        return ordinal(series, by, order, "ord", max_group_rows).select(*by, "ord", name)
+
+    left = numbered(a, order_a, value_a, "truth")
+    right = numbered(b, order_b, value_b, "approx")
     return left.join(right, [*by, "ord"])
 
 

@@ -26,6 +26,7 @@ from tidepane.operators.ordered import (
     ordinal_in,
     to_blocks,
 )
+from tidepane.session import cut_lineage
 
 
 def to_result_windows(
@@ -116,7 +117,8 @@ def _merge_counts(joined: DataFrame) -> DataFrame:
         .groupBy(*_TARGET, F.col("_b.at").alias("at"))
         .agg(F.sum("_b.net").alias("net"))
     )
-    ranked = ordinal(net, _TARGET, ["at"], "rank")
+    # Saved once: the groups are measured before they are numbered.
+    ranked = ordinal(cut_lineage(net), _TARGET, ["at"], "rank")
     return ranked.groupBy(*_TARGET).agg(F.sum(F.col("net") * F.col("rank")).alias("value"))
 
 
@@ -197,7 +199,7 @@ def asof_latest(
         .select("topic", "_k", F.col("_last.value").alias("latest"), F.col(f"_last.{ts}").alias("latest_ts"))
     )
     following = neighbour_in(
-        to_blocks(per_slide, ["topic"], ["_k"], max_group_rows), {"_next": "_k"}, step=1
+        to_blocks(cut_lineage(per_slide), ["topic"], ["_k"], max_group_rows), {"_next": "_k"}, step=1
     )
     until_next = F.coalesce(F.col("_next") - 1, F.lit(last_k))
     end = F.col("_t") * slide_us

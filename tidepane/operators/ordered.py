@@ -188,12 +188,12 @@ def trailing_frames(
     the head of the next one so that no frame is cut short.
     """
     halo = max(rows for _, rows in frames.values()) - 1
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    numbered = ordinal(df, by, order, "_n", max_group_rows)
-    if group_sizes(df, by)[0] <= limit:
+    blocks = to_blocks(df, by, order, max_group_rows)
+    numbered = ordinal_in(blocks, "_n")
+    if not blocks.split:
         keys, out = list(by), numbered
     else:
-        chunk_rows = max(min(chunk_rows, limit), halo + 1)
+        chunk_rows = max(min(chunk_rows, max_group_rows or MAX_GROUP_ROWS), halo + 1)
         own = F.floor((F.col("_n") - 1) / chunk_rows)
         into_next = F.pmod(F.col("_n") - 1, F.lit(chunk_rows)) >= chunk_rows - halo
         out = numbered.withColumn("_own", own).withColumn(
@@ -253,6 +253,8 @@ def value_ranks(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("_c")
     )
+    # Used three times below; saved so that the rows are read once.
+    counts = cut_lineage(counts)
     ranked = running_in(to_blocks(counts, by, [value], max_group_rows), {"r_hi": ("sum", "_c")})
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
     totals = totals.select(*[F.col(k).alias(f"_g_{k}") for k in by], "n")

@@ -17,7 +17,7 @@ def trend_slope(
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """Least-squares slope over the position in the series, and its label."""
-    numbered = ordinal(df, by, order, "_n", max_group_rows)
+    numbered = ordinal(df.select(*by, *order, value), by, order, "_n", max_group_rows)
     slopes = numbered.groupBy(*by).agg(
         F.count(value).alias("points"), F.regr_slope(F.col(value), F.col("_n") - 1).alias("slope")
     )
@@ -196,7 +196,8 @@ def change_profile(
     heads: Sequence[int] = (10, 50, 100), max_group_rows: int | None = None,
 ) -> DataFrame:
     """How a series changes: ends, extremes, early changes, and values at its quarters."""
-    numbered = ordinal(df, by, order, "_n", max_group_rows)
+    columns = dict.fromkeys([*by, *order, ts, value])
+    numbered = ordinal(df.select(*columns), by, order, "_n", max_group_rows)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("points"))
     rows = numbered.join(sizes, list(by))
 

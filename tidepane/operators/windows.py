@@ -154,21 +154,44 @@ def rstream(relation: DataFrame, report_at: str = "w_end") -> DataFrame:
     return relation.withColumn("emit_ts", F.col(report_at))
 
 
-def _shifted(relation: DataFrame, slide: str | int, start: str) -> DataFrame:
+def _changes(
+    relation: DataFrame, slide: str | int, content: Sequence[str], start: str
+) -> DataFrame:
+    """Copies of each content row in a window (``now``) and in the one a slide earlier (``before``).
+
+    Each row is counted for its own window and for the next one, so both windows meet in one
+    aggregation: the relation is read once and equal rows are summed before the shuffle.
+    """
     dtype = time_type(relation, start)
-    return relation.withColumn(start, from_micros(micros(start) + duration_us(slide), dtype))
+    following = from_micros(micros(start) + duration_us(slide), dtype)
+    seen = F.array(
+        F.struct(F.col(start).alias("at"), F.lit(1).alias("now"), F.lit(0).alias("before")),
+        F.struct(following.alias("at"), F.lit(0).alias("now"), F.lit(1).alias("before")),
+    )
+    return (
+        relation.select(*content, F.explode(seen).alias("_s"))
+        .groupBy(F.col("_s.at").alias(start), *content)
+        .agg(F.sum("_s.now").alias("now"), F.sum("_s.before").alias("before"))
+    )
+
+
+def _surplus(
+    changes: DataFrame, more: str, less: str, columns: Sequence[str], bag: bool
+) -> DataFrame:
+    if not bag:
+        return changes.filter((F.col(more) > 0) & (F.col(less) == 0)).select(*columns)
+    extra = F.col(more) - F.col(less)
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), extra))
+    return changes.filter(extra > 0).select(*columns, copies.alias("_copy")).drop("_copy")
 
 
 def istream(
     relation: DataFrame, slide: str | int, content: Sequence[str], start: str = "w_start",
     bag: bool = False,
 ) -> DataFrame:
-    """Rows of a window that were not in the window one slide earlier."""
-    rows = relation.select(start, *content)
-    previous = _shifted(rows, slide, start)
-    if bag:
-        return rows.exceptAll(previous)
-    return rows.distinct().join(previous, [start, *content], "left_anti")
+    """Rows of a window that were not in the window one slide earlier; ``bag`` counts copies."""
+    changes = _changes(relation, slide, content, start)
+    return _surplus(changes, "now", "before", [start, *content], bag)
 
 
 def dstream(
@@ -176,11 +199,8 @@ def dstream(
     bag: bool = False,
 ) -> DataFrame:
     """Rows of the window one slide earlier that are gone, stamped with the later window."""
-    rows = relation.select(start, *content)
-    previous = _shifted(rows, slide, start)
-    if bag:
-        return previous.exceptAll(rows)
-    return previous.distinct().join(rows, [start, *content], "left_anti")
+    changes = _changes(relation, slide, content, start)
+    return _surplus(changes, "before", "now", [start, *content], bag)
 
 
 def classify_lateness(

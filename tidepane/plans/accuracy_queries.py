@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from tidepane.functions import grades
 from tidepane.operators import accuracy, merge, reshape, trends
+from tidepane.operators.panes import rollup
 from tidepane.operators.profile import buffer_stats
 from tidepane.plans.catalog import query
 from tidepane.plans.inputs import (
     OBS,
     OUT,
-    exact_results,
+    SCALE,
+    SUB,
     observations,
+    shared_panes,
     sql_exact,
     sql_sub,
-    sub_results,
     table,
     with_sql,
 )
@@ -45,8 +47,9 @@ pairs AS (SELECT topic, ord, CASE WHEN ord % 50 = 0 THEN 0.0::DOUBLE ELSE truth
 
 
 def _aligned(spark, sf_dir):
-    exact = exact_results(spark, sf_dir)
-    approx = merge.merge_windows(sub_results(spark, sf_dir), *OUT, "AVG")
+    panes = shared_panes(spark, sf_dir)
+    exact = rollup(panes, *OUT, "AVG", scale=SCALE)
+    approx = merge.merge_windows(rollup(panes, *SUB, "AVG", scale=SCALE), *OUT, "AVG")
     approx = approx.withColumn("value", F.round("value", 8))
     return accuracy.align_by_ordinal(exact, approx, ["topic"], ["w_start"], ["t_start"])
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepane.operators.panes import pane_partials
 from tidepane.operators.windows import sliding_agg
+from tidepane.session import cut_lineage
 
 SUB = ("1 hour", "30 minutes")
 OUT = ("2 hours", "1 hour")
@@ -46,6 +48,16 @@ def sub_results(spark: SparkSession, sf_dir: str, agg: str = "AVG") -> DataFrame
     return sliding_agg(observations(spark, sf_dir), *SUB, agg, scale=SCALE)
 
 
+def published(results: DataFrame) -> DataFrame:
+    """Results saved once, as sub-queries publish them, for consumers that read them repeatedly."""
+    return cut_lineage(results)
+
+
+def shared_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials from which both the sub-queries and the registered query are answered."""
+    return published(pane_partials(observations(spark, sf_dir), [*SUB, *OUT], scale=SCALE))
+
+
 def exact_results(spark: SparkSession, sf_dir: str, agg: str = "AVG") -> DataFrame:
     return sliding_agg(observations(spark, sf_dir), *OUT, agg, scale=SCALE)
 

@@ -14,6 +14,7 @@ from tidepane.plans.inputs import (
     OBS,
     OUT,
     observations,
+    published,
     sql_sub,
     sql_windowed,
     sub_results,
@@ -141,7 +142,7 @@ _PAIR = """pair AS (
 
 def _pairs(spark, sf_dir, agg):
     """Neighbouring sub-query results with the half hour they share."""
-    win = sub_results(spark, sf_dir, agg)
+    win = published(sub_results(spark, sf_dir, agg))
     shift = from_micros(micros("w_start") - 30 * MINUTE)
     first = win.select("topic", "w_start", F.col("w_end").alias("first_end"), F.col("value").alias("v1"))
     second = win.select(
@@ -280,7 +281,7 @@ FROM (SELECT t_start, t_end, count(latest) AS n_latest, count(merged) AS n_merge
 
 
 def _unify(spark, sf_dir, agg):
-    win = sub_results(spark, sf_dir, agg)
+    win = published(sub_results(spark, sf_dir, agg))
     return _rounded(merge.unify(merge.merge_windows(win, *OUT, agg), _latest(win), agg))
 
 
@@ -306,7 +307,7 @@ FROM asof_rows FULL JOIN merged USING (topic, t_start, t_end)""",
     ),
 )
 def e10(spark, sf_dir):
-    win = sub_results(spark, sf_dir)
+    win = published(sub_results(spark, sf_dir))
     merged = merge.merge_windows(win, *OUT, "AVG")
     return _rounded(
         merge.individual_results(merged, merge.buffered_latest(win, *OUT), _latest(win))
@@ -337,7 +338,7 @@ FROM (SELECT DISTINCT topic, t_start, t_end FROM asof_rows
 )
 def e12(spark, sf_dir):
     """Fields read back out of the nested record and its JSON text."""
-    win = sub_results(spark, sf_dir, "MAX")
+    win = published(sub_results(spark, sf_dir, "MAX"))
     merged, latest = merge.merge_windows(win, *OUT, "MAX"), _latest(win)
     individual = merge.individual_results(merged, merge.buffered_latest(win, *OUT), latest)
     record = merge.result_record(merge.unify(merged, latest, "MAX"), individual, "MAX", len(TOPICS))
