@@ -39,18 +39,33 @@ def test_group_sizes(skewed):
     assert group_sizes(skewed, ["topic"]) == (720, 900)
 
 
-def test_blocks_are_used_only_for_large_groups(skewed):
+def test_small_groups_stay_whole(skewed):
     assert not to_blocks(skewed, ["topic"], ["ts", "subject"]).split
+
+
+def test_hot_instants_are_cut_by_range(skewed):
+    """A third of the rows share one instant: equal steps of time cannot split them."""
     blocks = to_blocks(skewed, ["topic"], ["ts", "subject"], SMALL)
-    assert blocks.split
     sizes = blocks.df.groupBy("topic", "_block").count()
-    # The hot topic and its hot instant are spread over several blocks.
+    assert blocks.split and sizes.agg(F.max("count")).first()[0] <= 3 * SMALL
     assert sizes.filter("topic = 'hot'").count() >= 4
 
 
-def test_ordinal(skewed):
-    want = ordinal(skewed, ["topic"], ["ts", "subject"])
-    got = ordinal(skewed, ["topic"], ["ts", "subject"], max_group_rows=SMALL)
+def test_hot_topics_are_cut_into_steps(skewed):
+    """Arrival numbers are spread evenly, so steps are enough and nothing is shuffled for them."""
+    blocks = to_blocks(skewed, ["topic"], ["arrival"], SMALL)
+    sizes = blocks.df.groupBy("topic", "_block").count()
+    assert blocks.split and sizes.agg(F.max("count")).first()[0] <= SMALL
+    assert sizes.filter("topic = 'hot'").count() > 100
+    assert sizes.filter("topic is null").count() >= 1
+    plan = blocks.df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("order", [["ts", "subject"], ["arrival"], ["subject"]])
+def test_ordinal(skewed, order):
+    want = ordinal(skewed, ["topic"], order)
+    got = ordinal(skewed, ["topic"], order, max_group_rows=SMALL)
     key = lambda df: sorted((r.subject, r.n) for r in df.collect())
     assert key(got) == key(want)
     assert got.count() == 900
@@ -67,8 +82,8 @@ def test_running(skewed, inclusive):
 
 
 @pytest.mark.parametrize("step", [-1, 1])
-def test_neighbour(skewed, step):
-    order = ["ts", "subject"]
+@pytest.mark.parametrize("order", [["ts", "subject"], ["arrival"]])
+def test_neighbour(skewed, step, order):
     want = neighbour_in(to_blocks(skewed, ["topic"], order), {"other": "subject"}, step)
     got = neighbour_in(to_blocks(skewed, ["topic"], order, SMALL), {"other": "subject"}, step)
     key = lambda df: sorted((r.subject, r.other or "") for r in df.collect())

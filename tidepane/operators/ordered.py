@@ -2,42 +2,59 @@
 
 ``row_number``, ``lag`` or a running maximum over ``partitionBy(topic)`` puts every row of a topic
 into one task. That is right while topics are small, and it breaks once one topic holds a third of
-the data. The operators here first measure the largest group. If it fits, they use the plain
-window. If not, the rows are range-partitioned on (group, order), so that a hot group is cut into
-many ordered blocks; each block is then processed on its own, and a small per-block summary
-carries counts, maxima and last values over the block borders. Both ways give the same result.
+the data. The operators here first measure the groups. If all fit, they use the plain window. If
+not, a large group is cut into many blocks that follow each other in order; each block is processed
+on its own, and a small per-block summary carries counts, maxima and last values over the block
+borders. All ways give the same result.
+
+Blocks are equal steps of the first order column, a plain expression that needs no shuffle. Where
+that leaves a block too large (many rows at one instant), the rows are range-partitioned on the
+whole order instead, which can split even those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
+from tidepane.functions.timegrid import micros
 from tidepane.session import cut_lineage
 
 # Rows one task may sort for one group before the group is cut into blocks.
-MAX_GROUP_ROWS = 4_000_000
+MAX_GROUP_ROWS = 1_000_000
+# Blocks are made smaller than that, so that they spread evenly over tasks.
+BLOCKS_PER_LIMIT = 8
+# Large groups whose borders are kept on the driver; there are at most (all rows / limit) of them.
+MAX_LARGE_GROUPS = 10_000
+# Range blocks beyond this number cost more in shuffle bookkeeping than smaller sorts save.
+MAX_RANGE_BLOCKS = 50_000
 # Longest list that a map-side group limit can bound before the shuffle (Spark's own threshold).
 GROUP_LIMIT = 1000
 SALTS = 64
-# More range blocks than this cost more in shuffle bookkeeping than smaller sorts save.
-MAX_BLOCKS = 50_000
 
 _BLOCK = "_block"
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows with group keys ``by`` and total order ``order``; ``split`` when cut into blocks."""
+    """Rows with group keys ``by`` and total order ``order``; ``split`` when cut into blocks.
+
+    ``sizes`` then holds the row count per group and block.
+    """
 
     df: DataFrame
     by: tuple[str, ...]
     order: tuple[str, ...]
-    split: bool
+    sizes: DataFrame | None = None
+
+    @property
+    def split(self) -> bool:
+        return self.sizes is not None
 
     @property
     def keys(self) -> list[str]:
@@ -71,12 +88,62 @@ def to_blocks(
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
     largest, total = group_sizes(df, by)
     if largest <= limit:
-        return Blocks(df, tuple(by), tuple(order), False)
+        return Blocks(df, tuple(by), tuple(order))
+    return _step_blocks(df, by, order, limit) or _range_blocks(df, by, order, limit, total)
+
+
+def _position(df: DataFrame, column: str) -> Column | None:
+    """The column as a number that grows with it, if it is a time or a number."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return micros(column).cast("double")
+    return F.col(column).cast("double") if isinstance(kind, NumericType) else None
+
+
+def _step_blocks(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int
+) -> Blocks | None:
+    """Blocks of equal steps of the first order column; None if some block would be too large."""
+    at = _position(df, order[0])
+    if at is None or not by:
+        return None
+    large = (
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to"))
+        .filter(F.col("_n") > limit)
+        .withColumn("_steps", F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / limit))
+    )
+    # Few by definition: each large group holds more than ``limit`` rows.
+    found = large.limit(MAX_LARGE_GROUPS + 1).collect()
+    if len(found) > MAX_LARGE_GROUPS or any(
+        r["_from"] is None or not isfinite(r["_to"] - r["_from"]) or r["_to"] <= r["_from"] for r in found
+    ):
+        return None
+    borders = df.sparkSession.createDataFrame(found, large.schema)
+    borders = borders.select(*[F.col(k).alias(f"_b_{k}") for k in by], "_from", "_to", "_steps")
+    on = [df[k].eqNullSafe(borders[f"_b_{k}"]) for k in by]
+    step = F.floor((at - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_steps"))
+    # Small groups are one block; nulls sort first.
+    block = F.when(F.col("_from").isNull(), F.lit(0)).otherwise(F.coalesce(step, F.lit(-1)))
+    # At most MAX_LARGE_GROUPS rows, as checked above: safe to broadcast.
+    cut = df.join(F.broadcast(borders), on, "left").withColumn(_BLOCK, block.cast("bigint")).select(*df.columns, _BLOCK)
+    sizes = cut_lineage(cut.groupBy(*by, _BLOCK).agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.agg(F.max("_size")).first()[0] > limit:
+        return None
+    return Blocks(cut, tuple(by), tuple(order), sizes)
+
+
+def _range_blocks(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, total: int
+) -> Blocks:
+    """Blocks by range partitioning on group and whole order."""
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(default, min(ceil(2 * total / limit), MAX_BLOCKS))
+    blocks = max(default, min(ceil(2 * total / limit), MAX_RANGE_BLOCKS))
     ranged = df.repartitionByRange(blocks, *by, *order).withColumn(_BLOCK, F.spark_partition_id())
     # The checkpoint fixes block numbers: all uses below must see the same range borders.
-    return Blocks(cut_lineage(ranged), tuple(by), tuple(order), True)
+    saved = cut_lineage(ranged)
+    sizes = saved.groupBy(*by, _BLOCK).agg(F.count(F.lit(1)).alias("_size"))
+    return Blocks(saved, tuple(by), tuple(order), sizes)
 
 
 def _attach(blocks: Blocks, df: DataFrame, summary: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -97,8 +164,7 @@ def ordinal_in(blocks: Blocks, name: str = "n") -> DataFrame:
     numbered = blocks.df.withColumn(name, F.row_number().over(blocks.window()).cast("bigint"))
     if not blocks.split:
         return blocks.finish(numbered)
-    sizes = blocks.df.groupBy(*blocks.keys).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.withColumn("_before", F.sum("_size").over(_earlier(blocks)))
+    offsets = blocks.sizes.withColumn("_before", F.sum("_size").over(_earlier(blocks)))
     joined = _attach(blocks, numbered, offsets, ["_before"])
     joined = joined.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
     return blocks.finish(joined.drop("_before"))
@@ -217,8 +283,8 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, numbered from 1.
 
-    Each map task keeps at most ``n`` rows per group, and salted sub-groups are cut again before
-    the group meets in one task, so at most ``SALTS * n`` rows per group arrive there.
+    Each map task keeps at most ``n`` rows per group. The kept rows of some tasks at a time are cut
+    again before the whole group meets in one task, so at most ``SALTS * n`` rows arrive there.
     Without group keys this is a plain top-n over the whole frame.
     """
     if not by:
@@ -226,7 +292,7 @@ def first_n(
         return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     if n > GROUP_LIMIT:
         raise ValueError(f"first_n keeps at most {GROUP_LIMIT} rows per group; use ordinal()")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     inner = Window.partitionBy(*by, "_salt").orderBy(*order)
     outer = Window.partitionBy(*by).orderBy(*order)
     kept = salted.withColumn("_k", F.row_number().over(inner)).filter(F.col("_k") <= n)

@@ -74,10 +74,10 @@ def nt_statement(s: Column, p: Column, o: Column, o_type: Column) -> Column:
     return F.concat(node(s), F.lit(" <"), p, F.lit("> "), term, F.lit(" ."))
 
 
-def _statements(obs: DataFrame):
-    """The six (predicate, object, object type) parts of an observation."""
+def _terms() -> list[tuple[str, Column, str]]:
+    """Predicate, object and object type of the six statements of an observation."""
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    terms = [
+    return [
         (IN_DATASET, F.col("dataset"), IRI),
         (MADE_BY, F.col("device"), IRI),
         (VERSION_OF, F.col("obs_type"), IRI),
@@ -85,18 +85,12 @@ def _statements(obs: DataFrame):
         (TIMESTAMP, stamp, XSD_DATETIME),
         (HAS_VALUE, F.col("value").cast("string"), XSD_FLOAT),
     ]
-    return F.array(
-        *[
-            F.struct(F.col("subject").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type"))
-            for p, o, kind in terms
-        ]
-    )
 
 
 def to_lines(obs: DataFrame) -> DataFrame:
     """Observations as text, the six statements of a subject on one line. No shuffle."""
-    texts = F.transform(_statements(obs), lambda t: nt_statement(t.s, t.p, t.o, t.o_type))
-    return obs.select(F.array_join(texts, " ").alias("value"))
+    texts = [nt_statement(F.col("subject"), F.lit(p), o, F.lit(kind)) for p, o, kind in _terms()]
+    return obs.select(F.concat_ws(" ", *texts).alias("value"))
 
 
 def write_nt(triples: DataFrame, path: str) -> None:
@@ -127,6 +121,12 @@ def to_observations(triples: DataFrame, topic: str | None = None) -> DataFrame:
 
 def to_triples(obs: DataFrame) -> DataFrame:
     """Six triples per observation, with the topic as graph. A narrow step: no shuffle."""
+    po = F.array(
+        *[
+            F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type"))
+            for p, o, kind in _terms()
+        ]
+    )
     return obs.select(
-        F.explode(_statements(obs)).alias("_t"), F.col("topic").alias("g")
-    ).select("_t.s", "_t.p", "_t.o", "_t.o_type", "g")
+        F.col("subject").alias("s"), F.explode(po).alias("_t"), F.col("topic").alias("g")
+    ).select("s", "_t.p", "_t.o", "_t.o_type", "g")
