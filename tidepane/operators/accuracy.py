@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepane.functions.grades import accuracy_metrics as metric_columns
 from tidepane.functions.grades import percentage_error
+from tidepane.operators.joins import attach
 from tidepane.operators.ordered import first_n, ordinal, quantile, value_at_rank, value_ranks
 from tidepane.session import cut_lineage
 
@@ -53,7 +54,7 @@ def series_stats(
         F.max(value).alias("max"),
     )
     medians = value_ranks(df, by, value, max_group_rows).groupBy(*by).agg(quantile(value, 0.5).alias("median"))
-    return basic.join(medians, list(by), "left")
+    return attach(basic, medians, by)
 
 
 def floor_rank_percentiles(

@@ -20,6 +20,7 @@ from tidepane.functions.timegrid import (
     start_offset_us,
     time_type,
 )
+from tidepane.operators.joins import attach
 from tidepane.operators.ordered import (
     neighbour_in,
     ordinal,
@@ -364,7 +365,7 @@ def adaptive_timeout(
     blocks = to_blocks(results, by, [ts, *tie], max_group_rows)
     numbered = ordinal_in(blocks, "n")
     firsts = results.groupBy(*by).agg(F.min(ts).alias("_first"))
-    rows = numbered.join(firsts, list(by))
+    rows = attach(numbered, firsts, by)
     gaps = F.col("n") - 1
     mean = F.try_divide((micros(ts) - micros("_first")) / F.lit(1000), gaps)
     usable = (F.col("n") >= min_samples) & (F.col("mean_interval_ms") > 0)
@@ -404,5 +405,5 @@ def cap_duration(
 ) -> DataFrame:
     """Results up to ``limit`` after the first one of their topic; later ones are cut off."""
     firsts = results.groupBy(*by).agg(F.min(ts).alias("_first"))
-    rows = results.join(firsts, list(by))
+    rows = attach(results, firsts, by)
     return rows.filter(micros(ts) - micros("_first") <= duration_us(limit)).drop("_first")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from tidepane.functions.timegrid import micros
+from tidepane.operators.joins import attach
 from tidepane.session import cut_lineage
 
 # Rows one task may sort for one group before the group is cut into blocks.
@@ -146,15 +147,6 @@ def _range_blocks(
     return Blocks(saved, tuple(by), tuple(order), sizes)
 
 
-def _attach(blocks: Blocks, df: DataFrame, summary: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Join the per-block summary back; null group keys match each other."""
-    right = summary.select(
-        *[F.col(k).alias(f"_s_{k}") for k in blocks.keys], *values
-    )
-    on = [df[k].eqNullSafe(right[f"_s_{k}"]) for k in blocks.keys]
-    return df.join(right, on, "left").drop(*[f"_s_{k}" for k in blocks.keys])
-
-
 def _earlier(blocks: Blocks):
     return Window.partitionBy(*blocks.by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -165,7 +157,7 @@ def ordinal_in(blocks: Blocks, name: str = "n") -> DataFrame:
     if not blocks.split:
         return blocks.finish(numbered)
     offsets = blocks.sizes.withColumn("_before", F.sum("_size").over(_earlier(blocks)))
-    joined = _attach(blocks, numbered, offsets, ["_before"])
+    joined = attach(numbered, offsets.drop("_size"), blocks.keys)
     joined = joined.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
     return blocks.finish(joined.drop("_before"))
 
@@ -202,7 +194,7 @@ def running_in(
     )
     for name, (kind, _) in aggs.items():
         summary = summary.withColumn(f"_p_{name}", _COMBINE[kind](f"_t_{name}").over(_earlier(blocks)))
-    joined = _attach(blocks, out, summary, [f"_p_{name}" for name in aggs])
+    joined = attach(out, summary.drop(*[f"_t_{name}" for name in aggs]), blocks.keys)
     for name, (kind, _) in aggs.items():
         joined = joined.withColumn(name, _merge(kind, F.col(f"_p_{name}"), F.col(name)))
     return blocks.finish(joined.drop(*[f"_p_{name}" for name in aggs]))
@@ -230,7 +222,7 @@ def neighbour_in(blocks: Blocks, columns: dict[str, str], step: int = -1) -> Dat
     across = Window.partitionBy(*blocks.by).orderBy(_BLOCK)
     summary = summary.withColumn("_beyond", pick("_edge").over(across))
     out = out.withColumn("_at_edge", pick(F.lit(True)).over(blocks.window()).isNull())
-    joined = _attach(blocks, out, summary, ["_beyond"])
+    joined = attach(out, summary.drop("_edge"), blocks.keys)
     joined = joined.withColumns(
         {
             name: F.when(F.col("_at_edge"), F.col(f"_beyond.{col}")).otherwise(F.col(name))
@@ -323,9 +315,7 @@ def value_ranks(
     counts = cut_lineage(counts)
     ranked = running_in(to_blocks(counts, by, [value], max_group_rows), {"r_hi": ("sum", "_c")})
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
-    totals = totals.select(*[F.col(k).alias(f"_g_{k}") for k in by], "n")
-    on = [ranked[k].eqNullSafe(totals[f"_g_{k}"]) for k in by]
-    return ranked.join(totals, on, "inner").select(
+    return attach(ranked, totals, by).select(
         *by, value, (F.col("r_hi") - F.col("_c")).alias("r_lo"), "r_hi", "n"
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.timegrid import from_micros, micros, time_type
+from tidepane.operators.joins import attach
 from tidepane.operators.ordered import ordinal
 
 
@@ -36,7 +37,7 @@ def rescale(
     ranges = obs.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     scaled = F.when(F.col("_hi") == F.col("_lo"), (lo + hi) / 2).otherwise(share * (hi - lo) + lo)
-    return obs.join(ranges, list(by)).withColumn(value, scaled).drop("_lo", "_hi")
+    return attach(obs, ranges, by).withColumn(value, scaled).drop("_lo", "_hi")
 
 
 def prefixes(
@@ -50,7 +51,7 @@ def prefixes(
         F.array(*[F.lit(s).cast("bigint") for s in sizes]),
         lambda s: (s >= F.col("n")) & (s <= F.col("_count")),
     )
-    return numbered.join(counts, list(by)).withColumn("prefix", F.explode(fitting)).drop("_count")
+    return attach(numbered, counts, by).withColumn("prefix", F.explode(fitting)).drop("_count")
 
 
 def _uniform(key: Sequence[str], seed: int, stream: int):

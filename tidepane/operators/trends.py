@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepane.functions.grades import impact_band, trend_label
 from tidepane.functions.timegrid import micros
+from tidepane.operators.joins import attach
 from tidepane.operators.ordered import first_n, ordinal, trailing_frames
 
 
@@ -53,14 +54,14 @@ def head_tail_trend(
     )
 
     def mean_of(ordering, name):
-        kept = first_n(valid, by, ordering, most, "_k").join(sizes, list(by))
+        kept = attach(first_n(valid, by, ordering, most, "_k"), sizes, by)
         return kept.groupBy(*by).agg(F.avg(F.when(F.col("_k") <= F.col("_m"), F.col(value))).alias(name))
 
     start = mean_of(list(order), "start_avg")
     end = mean_of([F.desc(c) for c in order], "end_avg")
     change = F.try_divide(F.col("end_avg") - F.col("start_avg"), F.col("start_avg")) * 100
     return (
-        start.join(end, list(by))
+        attach(start, end, by)
         .withColumn("change_pct", change)
         .withColumn(
             "trend",
@@ -87,7 +88,7 @@ def relative_seconds(df: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFr
     """Adds ``rel_s``, seconds since the first row of the series."""
     firsts = df.groupBy(*by).agg(F.min(ts).alias("_first"))
     rel = (micros(ts) - micros("_first")) / F.lit(1_000_000)
-    return df.join(firsts, list(by)).withColumn("rel_s", rel).drop("_first")
+    return attach(df, firsts, by).withColumn("rel_s", rel).drop("_first")
 
 
 def bucket_means(
@@ -177,7 +178,7 @@ def histogram(
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
     counts = (
-        valid.join(ranges, list(by)).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+        attach(valid, ranges, by).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
     )
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     filled = grid.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce("_c", F.lit(0)))
@@ -199,7 +200,7 @@ def change_profile(
     columns = dict.fromkeys([*by, *order, ts, value])
     numbered = ordinal(df.select(*columns), by, order, "_n", max_group_rows)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("points"))
-    rows = numbered.join(sizes, list(by))
+    rows = attach(numbered, sizes, by)
 
     def at(position, name):
         return F.max(F.when(F.col("_n") == position, F.col(value))).alias(name)

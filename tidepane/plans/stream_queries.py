@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepane.plans.catalog import query
-from tidepane.plans.inputs import HOUR, MINUTE, OBS, OUT, SCALE, SUB, sql_assigned, sql_sub, table, with_sql
+from tidepane.plans.inputs import MINUTE, OBS, OUT, SCALE, SUB, sql_sub, sql_windowed, table, with_sql
 from tidepane.plans.merge_queries import _OVER
 from tidepane.session import staging_path
 from tidepane.streaming import operators as ops
@@ -92,7 +92,24 @@ def e7_stream(spark, sf_dir):
     return _plain_times(out.groupBy("topic").agg(newest).select("topic", "_last.*"), "ts")
 
 
-@query("e14_stream_gaps")
+_GAPS = """halves AS (SELECT topic, w_end AS ts, epoch_us(w_end) AS us FROM half, mark WHERE w_end <= w),
+numbered AS (
+  SELECT *, row_number() OVER w AS n, (us - min(us) OVER w) / 1000.0::DOUBLE / nullif(row_number() OVER w - 1, 0) AS mean_ms
+  FROM halves WINDOW w AS (PARTITION BY topic ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+timed AS (
+  SELECT *, CASE WHEN n >= 3 AND mean_ms > 0 THEN least(mean_ms * 1.5::DOUBLE, 5400000.0::DOUBLE) ELSE 3600000.0::DOUBLE END AS timeout_ms,
+         lead(ts) OVER (PARTITION BY topic ORDER BY ts) AS next_ts, max(us) OVER () // 1000 - 600000 AS end_ms FROM numbered)"""
+
+
+@query(
+    "e14_stream_gaps",
+    with_sql(
+        """SELECT topic, ts AS silent_since, timeout_ms, next_ts AS resumed_at FROM timed
+WHERE CASE WHEN next_ts IS NULL THEN floor(us / 1000.0::DOUBLE + timeout_ms) + 1 < end_ms
+           ELSE (epoch_us(next_ts) - us) / 1000.0::DOUBLE > timeout_ms END""",
+        OBS, sql_windowed("AVG", 30 * MINUTE, 30 * MINUTE, "half"), _MARK, _GAPS,
+    ),
+)
 def e14_stream(spark, sf_dir):
     """Silences of the half-hour results of all topics, which one stream writes and one reads."""
     results = drain(ops.stream_sliding_agg(_stream(spark, sf_dir), SUB[1], SUB[1], "AVG", DELAY))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepane.operators.joins import attach
+
 LOG_SCHEMA = "timestamp BIGINT, message STRING"
 RESOURCE_SCHEMA = (
     "timestamp BIGINT, cpu_user DOUBLE, cpu_system DOUBLE, rss BIGINT, heapTotal BIGINT, "
@@ -84,7 +86,7 @@ def extract_results(
     ).filter(F.col("_final").isNotNull() | F.col("_published").isNotNull())
     has_final = found.groupBy(run).agg(F.max(F.col("_final").isNotNull()).alias("_has_final"))
     return (
-        found.join(has_final, run)
+        attach(found, has_final, [run])
         .withColumn("result", F.when(F.col("_has_final"), F.col("_final")).otherwise(F.col("_published")))
         .filter(F.col("result").isNotNull())
         .drop("_final", "_published", "_has_final")
