@@ -96,18 +96,22 @@ def f3(spark, sf_dir):
 
 # Signatures per user and topic are many and of every kind; fft_entropy is left to f3.
 _USER_SIGNATURE = """sig AS (
-  SELECT device || '/' || topic AS topic, count(*) * 2 AS triple_count, round(var_pop(value), 6) AS variance,
+  SELECT device || '/' || topic AS topic, count(*) * 2 AS triple_count,
+         CAST(count(*) * sum(cents * cents) - sum(cents) * sum(cents) AS DOUBLE) / (count(*) * count(*)) / 10000.0::DOUBLE AS variance,
          round(log2(count(*)), 6) AS entropy, round(min(value) / 10, 6) AS skewness, round(max(value) / 100, 6) AS fft_entropy
   FROM obs GROUP BY device, topic)"""
 
 
 def _user_signature(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    n, total = F.count("value"), F.sum("cents")
+    # In whole numbers, so that both engines get the same bits.
+    spread = n * F.sum(F.col("cents") * F.col("cents")) - total * total
     return (
         obs.groupBy(F.concat_ws("/", "device", "topic").alias("topic"))
         .agg(
             (F.count("value") * 2).alias("triple_count"),
-            F.round(F.var_pop("value"), 6).alias("variance"),
+            (spread.cast("double") / (n * n) / F.lit(10000.0)).alias("variance"),
             F.round(F.log2(F.count("value")), 6).alias("entropy"),
             F.round(F.min("value") / 10, 6).alias("skewness"),
             F.round(F.max("value") / 100, 6).alias("fft_entropy"),
@@ -121,16 +125,13 @@ def _user_signature(spark, sf_dir):
         """SELECT topic, CASE WHEN variance < 10 AND entropy < 2 THEN 'stable' WHEN variance > 50 THEN 'volatile'
     WHEN abs(skewness) > 1 THEN 'irregular' WHEN fft_entropy > 2 THEN 'periodic' ELSE 'mixed' END AS stream_type,
   least(CAST(ceil(entropy) AS BIGINT), 10) AS complexity,
-  round(greatest(0.0, 1 - entropy / 5), 8) AS predictability, round(variance / 100, 8) AS volatility FROM sig""",
+  greatest(0.0, 1 - entropy / 5) AS predictability, variance / 100 AS volatility FROM sig""",
         OBS, _USER_SIGNATURE,
     ),
 )
 def f4(spark, sf_dir):
     out = profile.classify_stream(_user_signature(spark, sf_dir))
-    return out.select(
-        "topic", "stream_type", "complexity",
-        F.round("predictability", 8).alias("predictability"), F.round("volatility", 8).alias("volatility"),
-    )
+    return out.select("topic", "stream_type", "complexity", "predictability", "volatility")
 
 
 _RECOMMENDED = """shares AS (

@@ -113,7 +113,7 @@ def c4(spark, sf_dir):
     with_sql(
         """SELECT subject, topic, w_start, run_count, run_min, run_max,
   CAST(run_cents AS DOUBLE) / 100.0 AS run_sum,
-  round(CAST(run_cents AS DOUBLE) / 100.0 / run_count, 6) AS run_avg
+  CAST(run_cents AS DOUBLE) / 100.0 / run_count AS run_avg
 FROM (SELECT subject, topic, w_start, count(*) OVER w AS run_count, min(value) OVER w AS run_min,
              max(value) OVER w AS run_max, sum(cents) OVER w AS run_cents
       FROM assigned WINDOW w AS (PARTITION BY topic, w_start ORDER BY ts, subject
@@ -127,7 +127,7 @@ def c6(spark, sf_dir):
     return running.select(
         "subject", "topic", "w_start", "run_count", "run_min", "run_max",
         F.round("run_sum", 2).alias("run_sum"),
-        F.round(F.round("run_sum", 2) / F.col("run_count"), 6).alias("run_avg"),
+        (F.round("run_sum", 2) / F.col("run_count")).alias("run_avg"),
     )
 
 
