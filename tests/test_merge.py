@@ -183,6 +183,8 @@ def test_record_has_the_field_names_of_each_style(spark):
     rate = merge.result_record(unified, individual, "AVG", 2).first()
     assert rate.record.unifiedAverage == 20.0
     assert rate.record.individualTopics == {"a": 1.0, "b": 3.0}
+    meta = rate.record.metadata
+    assert (meta.validBuffers, meta.globalValuesAvailable, meta.usingGlobalValues) == (2, 2, True)
     naive = merge.result_record(unified, individual, "MAX", 2, style="naive").first()
     assert naive.record.windows.end - naive.record.windows.start == 60000
     assert naive.record.individualResults == {"a": 1.0, "b": 3.0}

@@ -222,6 +222,7 @@ def expire_windows(win: DataFrame, target_start: Column | str, strict: bool = Fa
 def unify(per_topic: DataFrame, latest: DataFrame, agg: str) -> DataFrame:
     """One value over all topics per target: ``(t_start, t_end, value, n_topics, used_latest)``.
 
+    ``n_latest`` and ``n_merged`` count the topics with a latest and with a merged value.
     With two or more topics that ever sent a result, their latest raw values are used; the merged
     per-topic values count only when fewer are known. COUNT is the number of topics.
     """
@@ -246,6 +247,8 @@ def unify(per_topic: DataFrame, latest: DataFrame, agg: str) -> DataFrame:
             ).alias("value"),
             F.when(many, F.col("n_latest")).otherwise(F.col("n_merged")).alias("n_topics"),
             many.alias("used_latest"),
+            "n_latest",
+            "n_merged",
         )
     )
 
@@ -332,12 +335,13 @@ def result_record(
         F.lit(kind).alias("aggregationType"),
         F.map_from_entries("_entries").alias(topics_name),
         F.struct(
-            F.size("_entries").alias("validBuffers"),
+            F.col("n_merged").alias("validBuffers"),
             F.lit(expected_topics).alias("expectedTopics"),
             names.alias(available),
             F.col("n_topics").alias("topicCount"),
             (F.col("n_topics") >= 2).alias("hasMultipleTopics"),
             names.alias("latestValuesUsed"),
+            F.col("n_latest").alias("globalValuesAvailable"),
             F.col("used_latest").alias("usingGlobalValues"),
         ).alias("metadata"),
     )

@@ -282,7 +282,8 @@ FROM (SELECT t_start, t_end, count(latest) AS n_latest, count(merged) AS n_merge
 
 def _unify(spark, sf_dir, agg):
     win = published(sub_results(spark, sf_dir, agg))
-    return _rounded(merge.unify(merge.merge_windows(win, *OUT, agg), _latest(win), agg))
+    unified = merge.unify(merge.merge_windows(win, *OUT, agg), _latest(win), agg)
+    return _rounded(unified).drop("n_latest", "n_merged")
 
 
 @query("e9_unify_avg", _unify_sql("AVG", "AVG", _WEIGHTED, "avg({})"))
