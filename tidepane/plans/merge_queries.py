@@ -9,7 +9,6 @@ from tidepane.operators import merge
 from tidepane.operators.windows import sliding_agg
 from tidepane.plans.catalog import query
 from tidepane.plans.inputs import (
-    HOUR,
     MINUTE,
     OBS,
     OUT,
@@ -18,7 +17,6 @@ from tidepane.plans.inputs import (
     sql_sub,
     sql_windowed,
     sub_results,
-    table,
     with_sql,
 )
 
