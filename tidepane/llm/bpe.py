@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Symbols of a word above which it is merged on its own with a heap.
 LONG_WORD = 400
 #: Bytes of text worked on at a time inside a task; bounds the memory of a worker, not the result.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 
 _NO_RANK = np.int32(2**31 - 1)
 # White space of the tokenizer's pattern; unlike str.split() it leaves out U+001C to U+001F.

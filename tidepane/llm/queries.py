@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepane.llm import bpe, token_counts
+from tidepane.llm import bpe, packing, quality_model, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     counted = token_counts.with_token_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.json", limit=512)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op3_simhash_components")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and the component it is linked into."""
+    linked = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3)
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_quality_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text by a model that has seen no held-out label."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    weights = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.select(
+        "doc_id", quality_model.held_out().alias("held_out"), quality_model.score("text", weights).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op9_packed_sequences")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's tokens in sequences of 4096."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=4096, end_id=1)
