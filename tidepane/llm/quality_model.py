@@ -178,12 +178,14 @@ def train(
     )
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema)
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         texts = table.column("__text").combine_chunks().cast(pa.string())
         weights = fit(texts, table.column("__y").to_numpy(), bits)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    schema = pa.schema([("__text", pa.string()), ("__y", pa.float64())])
     row = sample.select("__text", "__y").mapInArrow(fitted, "weights binary").first()
     if row is None:
         return np.zeros((1 << bits) + 1, np.float32)
