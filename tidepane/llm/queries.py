@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepane.llm import bpe, packing, quality_model, simhash, token_counts
+from tidepane.llm import bpe, line_dedup, packing, quality_model, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's tokens in sequences of 4096."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=4096, end_id=1)
+
+
+@query("op6_line_dedup", line_dedup.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages that stand in an earlier place already."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return line_dedup.without_repeats(docs, removed="n_removed")
+
+
+@query("op10_quality_rules", quality_rules.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every text and whether its host's verdict keeps it."""
+    judged = quality_rules.judge(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
