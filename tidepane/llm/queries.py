@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepane.llm import bpe, line_dedup, packing, quality_model, quality_rules, simhash, token_counts
+from tidepane.llm import (
+    bpe,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    simhash,
+    syncmers,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +99,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every text and whether its host's verdict keeps it."""
     judged = quality_rules.judge(documents(spark, sf_dir, "doc_id", "text", "source"))
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts and a digest of the base spans, and all spans."""
+    found = secret_scan.with_secrets(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "secrets")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    base = secret_scan.joined(F.filter("secrets", lambda s: s["rank"] < 3))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+@query("op8_syncmer_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, and their likeness."""
+    rows = syncmers.fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+    rows = syncmers.with_likeness(rows, "sketch", "edited_sketch", "near_edited")
+    rows = syncmers.with_likeness(rows, "sketch", "next_sketch", "near_next")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.as_text("sketch").alias("fingerprint"),
+        syncmers.as_text("edited_sketch").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
