@@ -315,16 +315,34 @@ def encode_packed(text: str | Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
+        for batch in batches:
+            done = [_packed(*bpe.encode(part)) for part in chunks(batch)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.binary())
+
+    return bpe_encode(F.col(text) if isinstance(text, str) else text)
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts * 4))).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]
+    return pa.Array.from_buffers(pa.binary(), len(counts), buffers)
+
+
+def round_trip(text: str | Column, path: str) -> Column:
+    """``ids`` (packed) and ``decoded`` of each text in one struct, made by one worker instead of one for each way."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load(path)
+        kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
         for batch in batches:
             done = []
             for part in chunks(batch):
                 ids, counts = bpe.encode(part)
-                offsets = np.concatenate(([0], np.cumsum(counts * 4))).astype(np.int32)
-                data = pa.py_buffer(ids.astype("<u4"))
-                done.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), data]))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.binary())
+                done.append(pa.StructArray.from_arrays([_packed(ids, counts), bpe.decode(ids, counts)], fields=list(kind)))
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
 
-    return bpe_encode(F.col(text) if isinstance(text, str) else text)
+    return bpe_round_trip(F.col(text) if isinstance(text, str) else text)
 
 
 def encode(text: str | Column, path: str) -> Column:

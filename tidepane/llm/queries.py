@@ -45,13 +45,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
     path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = documents(spark, sf_dir, "doc_id", bpe.encode_packed("text", path).alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe.decode_packed("ids", path))
-    return decoded.select(
+    both = documents(spark, sf_dir, "doc_id", bpe.round_trip("text", path).alias("both"))
+    return both.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("both.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("both.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
