@@ -88,16 +88,14 @@ def links(prints: DataFrame) -> DataFrame:
     )
     buckets = cut_lineage(buckets)
     pairs = buckets.filter("n = 2").filter("bit_count(u ^ v) <= 2").select("u", "v")
-    # values within one bit that agree with the key: the fingerprint itself and a flip of each bit the mask leaves out
-    flips = F.array(*[
-        F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks
-    ])
+    # values within one bit that agree with the key: the fingerprint itself and a flip of each bit the mask leaves out;
+    # the bits are gathered over the tables first, so that a fingerprint names each value once
+    free = F.array(*[F.lit(_signed(~m & (1 << BITS) - 1)) for m in masks])
+    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS)])
     crowded = buckets.filter("n > 2").select("t", "key")
-    near = (
-        keyed.join(crowded, ["t", "key"])
-        .select("fp", F.explode(F.transform(flips[F.col("t")], lambda b: F.col("fp").bitwiseXOR(b))).alias("value"))
-        .distinct()
-    )
+    loose = keyed.join(crowded, ["t", "key"]).groupBy("fp").agg(F.bit_or(free[F.col("t")]).alias("free"))
+    named = F.filter(flips, lambda b: (b == 0) | (F.col("free").bitwiseAND(b) != 0))
+    near = loose.select("fp", F.explode(F.transform(named, lambda b: F.col("fp").bitwiseXOR(b))).alias("value"))
     hubs = near.groupBy("value").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = near.join(hubs.select("value", "u"), "value").filter("fp <> u").select("u", F.col("fp").alias("v"))
     return pairs.union(stars).distinct()
