@@ -12,6 +12,7 @@ from tidepane.llm import (
     bpe,
     line_dedup,
     packing,
+    private_data,
     quality_model,
     quality_rules,
     secret_scan,
@@ -131,3 +132,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op2_private_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and a digest of the base spans, and all spans."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = docs.select("doc_id", private_data.private_spans("text", private_data.train(docs)).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["rank"] == k))).cast("bigint")
+    kinds = F.array(*[F.lit(k) for k in private_data.KINDS])
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", kinds[s["rank"]], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = joined(F.filter("spans", lambda s: s["base"]))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(private_data.KINDS)],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
