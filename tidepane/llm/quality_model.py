@@ -124,8 +124,12 @@ def rows_of(texts: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.append(places, 1 << bits), np.append(np.bincount(inverse, x, minlength=len(places)), 1.0)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: int = 4) -> np.ndarray:
-    """Weights of a model run over the rows in their order, ``epochs`` times; float32 to halve what is sent around."""
+def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, updates: int = SAMPLE_ROWS) -> np.ndarray:
+    """Weights of a model run over the rows in their order, 4 to 40 times, until it has seen about ``updates`` rows.
+
+    They are float32, to halve what is sent around.
+    """
+    epochs = min(40, max(4, updates // max(len(texts), 1)))
     model = FtrlModel(bits)
     rows = [(at, x.astype(np.float32)) for part in slices(texts, CHUNK_BYTES) for at, x in rows_of(part, bits)]
     for _ in range(epochs):
