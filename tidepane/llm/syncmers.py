@@ -126,7 +126,8 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
 
     The last ``1 / share`` of a text's characters are replaced by as many first ones of the next text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = every.filter("id IS NOT NULL")  # on both sides of the joins below, so texts are dealt by id once
     measured = rows.withColumn("take", F.floor(F.length("text") / share).cast("int"))
     following = next_ids(measured.select("id", "take")).withColumnRenamed("id", "for_id")
     heads = rows.join(following, rows["id"] == following["next_id"]).select("for_id", "take", "text")
@@ -138,6 +139,10 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
     joined = rows.join(chosen, rows["id"] == chosen["for_id"], "left").select(
         "id", "text", F.col("n.head").alias("head"), F.col("n.next_sketch").alias("next_sketch")
     )
+    nothing = F.lit(None)
+    joined = joined.union(
+        every.filter("id IS NULL").select("id", "text", nothing.cast("string"), nothing.cast("array<bigint>"))
+    )
     edited = F.expr(
         f"concat(substring(text, 1, length(text) - cast(floor(length(text) / {int(share)}) AS INT)), "
         f"substring(coalesce(head, ''), 1, cast(floor(length(text) / {int(share)}) AS INT)))"
