@@ -139,3 +139,32 @@ def test_exact_answer_totals(make_obs):
     got = panes.exact_answer(obs, "10 seconds", "10 seconds", "SUM", topics=["a", "b"])
     found = {(r.topic, r.is_total): r.value for r in got.collect()}
     assert found == {("a", False): 2.0, ("b", False): 4.0, (None, True): 6.0}
+
+
+@pytest.fixture(params=["UTC", "Asia/Kolkata", "Europe/Berlin"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_one_grid_in_every_zone(spark, zone):
+    """Direct windows, panes and the windows at a time meet, on the day the clocks change in Berlin too."""
+    obs = spark.sql(
+        "SELECT TIMESTAMP_NTZ '2024-03-31 00:10:00' + make_dt_interval(0, 0, CAST(id * 7 AS INT)) AS ts, 't' AS topic, "
+        "CAST(id AS DOUBLE) AS value, concat('o', id) AS subject FROM range(60)"
+    )
+    direct = windows.sliding_agg(obs, "1 hour", "30 minutes", "SUM")
+    wide = windows.sliding_agg(obs, "5 hours", "30 minutes", "SUM")
+    exact = panes.exact_answer(obs, "1 hour", "30 minutes", "SUM").filter("topic = 't'")
+    starts = {r.w_start for r in direct.collect()}
+    assert starts == {r.w_start for r in exact.collect()}
+    assert starts <= {r.w_start for r in wide.collect()}
+    assert all(s.minute in (0, 30) and s.second == 0 for s in starts)
+    probes = obs.filter("subject = 'o20'").select(F.col("ts").alias("probe_ts"))
+    assert windows.window_at(obs, probes, "1 hour", "30 minutes").count() > 0
+
+
+def test_epoch_in_every_zone(spark, zone):
+    test_alignment_at_the_epoch(spark)

@@ -55,9 +55,13 @@ def prefixes(
 
 
 def _uniform(key: Sequence[str], seed: int, stream: int):
-    """Uniform in (0, 1] from a hash of the row key, the same on every run and partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed), F.lit(stream)), 11)
-    return (bits + 1) / F.lit(float(2**53))
+    """Uniform in (0, 1] from 13 digits of a digest of the row key, the same on every run and partitioning.
+
+    Any engine with MD5 gives the same number. Columns of the key are written as text and joined by ``|``.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)), F.lit(str(stream)))
+    digits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return (digits + 1) / F.lit(float(2**52))
 
 
 def gaussian(key: Sequence[str], seed: int):
@@ -70,7 +74,10 @@ def add_noise(
     obs: DataFrame, sigma: float, seed: int = 0, key: Sequence[str] = ("subject",),
     value: str = "value", multiplicative: bool = False,
 ) -> DataFrame:
-    """Gaussian noise of deviation ``sigma`` added to, or (``multiplicative``) scaled by, the value."""
+    """Gaussian noise of deviation ``sigma`` added to, or (``multiplicative``) scaled by, the value.
+
+    Calls with different seeds draw apart; one level of several needs a seed of its own.
+    """
     noise = gaussian(key, seed) * sigma
     noisy = F.col(value) * (1 + noise) if multiplicative else F.col(value) + noise
     return obs.withColumn(value, noisy)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepane.functions import grades
+from tidepane.functions.timegrid import micros
 from tidepane.operators import accuracy, merge, reshape, trends
 from tidepane.operators.panes import rollup
 from tidepane.operators.profile import buffer_stats
@@ -404,7 +405,7 @@ def _samples(spark, sf_dir):
         F.when(user % 2 == 0, "approximation").otherwise("chunked").alias("approach"),
         F.col("event_type").alias("topic"),
         "ts",
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.floor(micros("ts") / 1000).alias("timestamp"),
         value.alias("cpu_user"),
         (user * 1048576).alias("heap"),
         F.when(number % 9 == 0, "n/a").otherwise(value.cast("string")).alias("cpu_text"),
@@ -737,16 +738,41 @@ def h4(spark, sf_dir):
     return reshape.prefixes(observations(spark, sf_dir)).select("subject", "topic", "n", "prefix")
 
 
-@query("h5_add_noise")
+_LEVELS = (0.1, 0.5, 1.0, 2.0, 5.0)
+
+
+def _drawn(seed: int) -> str:
+    def uniform(stream: int) -> str:
+        return f"((('0x' || substr(md5(subject || '|{seed}|{stream}'), 1, 13))::BIGINT + 1) / pow(2, 52))"
+
+    return f"sqrt(-2 * ln({uniform(1)})) * cos(2 * pi() * {uniform(2)})"
+
+
+def _noisy(sigma: float) -> str:
+    return f"noisy_{str(sigma).replace('.', '_')}"
+
+
+@query(
+    "h5_add_noise",
+    with_sql(
+        "SELECT subject, topic, ts, value AS original, "
+        + ", ".join(f"round(value + {_drawn(7 + k)} * {s}, 9) AS {_noisy(s)}" for k, s in enumerate(_LEVELS))
+        + f", round(value * (1 + {_drawn(7 + len(_LEVELS))} * 0.02), 9) AS noisy_2pct FROM obs",
+        OBS,
+    ),
+)
 def h5(spark, sf_dir):
-    """Five noise levels, additive, and 2 % multiplicative; seeded by the row key."""
+    """Five noise levels, additive, and 2 % multiplicative; drawn apart by level and row key."""
     obs = observations(spark, sf_dir).select("subject", "topic", "ts", "value")
     out = obs.withColumnRenamed("value", "original")
-    for sigma in (0.1, 0.5, 1.0, 2.0, 5.0):
-        name = f"noisy_{str(sigma).replace('.', '_')}"
-        out = reshape.add_noise(out.withColumn(name, F.col("original")), sigma, seed=7, value=name)
-    out = out.withColumn("noisy_2pct", F.col("original"))
-    return reshape.add_noise(out, 0.02, seed=7, value="noisy_2pct", multiplicative=True)
+    for k, sigma in enumerate(_LEVELS):
+        name = _noisy(sigma)
+        out = reshape.add_noise(out.withColumn(name, F.col("original")), sigma, seed=7 + k, value=name)
+        out = out.withColumn(name, F.round(name, 9))
+    out = reshape.add_noise(
+        out.withColumn("noisy_2pct", F.col("original")), 0.02, seed=7 + len(_LEVELS), value="noisy_2pct", multiplicative=True
+    )
+    return out.withColumn("noisy_2pct", F.round("noisy_2pct", 9))
 
 
 @query(

@@ -14,13 +14,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf_dir)
-
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn

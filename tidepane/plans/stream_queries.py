@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepane.functions.timegrid import from_micros, micros
 from tidepane.plans.catalog import query
 from tidepane.plans.inputs import MINUTE, OBS, OUT, SCALE, SUB, sql_sub, sql_windowed, table, with_sql
 from tidepane.plans.merge_queries import _OVER
@@ -24,13 +25,13 @@ def _stream(spark, sf_dir):
         F.concat(F.lit("obs"), F.col("event_id").cast("string")).alias("subject"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("device"),
         F.col("event_type").alias("topic"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        from_micros(micros("ts"), "timestamp").alias("ts"),
         "value",
     )
 
 
 def _plain_times(df, *columns):
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    return df.withColumns({c: from_micros(micros(c)) for c in columns})
 
 
 @query("a6_stream_round_trip", with_sql("SELECT subject, device, topic, ts, value FROM obs", OBS))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepane.functions.messages import HAS_VALUE, SAREF, XSD_FLOAT
+from tidepane.functions.timegrid import from_micros, micros
 
 # Predicates and classes of an observation.
 IN_DATASET = "http://rdfs.org/ns/void#inDataset"
@@ -76,7 +77,7 @@ def nt_statement(s: Column, p: Column, o: Column, o_type: Column) -> Column:
 
 def _terms() -> list[tuple[str, Column, str]]:
     """Predicate, object and object type of the six statements of an observation."""
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    stamp = F.concat(F.date_format(from_micros(micros("ts")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     return [
         (IN_DATASET, F.col("dataset"), IRI),
         (MADE_BY, F.col("device"), IRI),

@@ -16,7 +16,7 @@ from tidepane.operators.windows import sliding_agg
 
 def with_event_time(df: DataFrame, max_delay: str, ts: str = "ts") -> DataFrame:
     """Watermark on the event time; rows later than ``max_delay`` are dropped by Spark."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, max_delay)
+    return df.withColumn(ts, F.timestamp_micros(micros(ts))).withWatermark(ts, max_delay)
 
 
 def stream_sliding_agg(
@@ -72,7 +72,7 @@ def stream_merge(
     value: Column = {
         "MIN": F.min("value"),
         "MAX": F.max("value"),
-        "AVG": F.sum(F.col("value") * overlap) / F.sum(overlap),
+        "AVG": F.sum(F.col("value") * overlap) / F.sum(F.when(F.col("value").isNotNull(), overlap)),
         "SUM": F.sum(F.col("value") * overlap / sub_us),
     }[kind]
     return (
@@ -118,7 +118,7 @@ def stream_latest(obs: DataFrame, by: Sequence[str] = ("topic",), ts: str = "ts"
     )
 
 
-_GAP_OUTPUT = "topic STRING, silent_since TIMESTAMP, timeout_ms DOUBLE, resumed_at TIMESTAMP"
+_GAP_OUTPUT = "topic STRING, silent_us BIGINT, timeout_ms DOUBLE, resumed_us BIGINT"
 _GAP_STATE = "first_us BIGINT, last_us BIGINT, seen BIGINT, alerted BOOLEAN"
 
 
@@ -173,13 +173,20 @@ def stream_gaps(
         yield pd.DataFrame(
             {
                 "topic": pd.Series([key[0]] * len(alerts), dtype="object"),
-                "silent_since": pd.to_datetime([a[0] for a in alerts], unit="us"),
+                "silent_us": pd.Series([a[0] for a in alerts], dtype="Int64"),
                 "timeout_ms": pd.Series([a[1] for a in alerts], dtype="float64"),
-                "resumed_at": pd.to_datetime([a[2] for a in alerts], unit="us"),
+                "resumed_us": pd.Series([a[2] for a in alerts], dtype="Int64"),
             }
         )
 
     timed = with_event_time(results, max_delay).select("topic", "ts", micros("ts").alias("us"))
-    return timed.groupBy("topic").applyInPandasWithState(
+    alerts = timed.groupBy("topic").applyInPandasWithState(
         watch, _GAP_OUTPUT, _GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    # times cross the border to Python as numbers, which no time zone changes
+    return alerts.select(
+        "topic",
+        F.timestamp_micros("silent_us").alias("silent_since"),
+        "timeout_ms",
+        F.timestamp_micros("resumed_us").alias("resumed_at"),
+    )
