@@ -30,6 +30,13 @@ def test_buffer_limit(make_obs):
     assert rows(profile.last_n(obs, 2, by=None), "topic", "value") == [("t", 29.0), ("u", 1.0)]
     # More than a map-side limit can bound.
     assert profile.last_n(obs, 5000).count() == 31
+    assert profile.last_n(obs, 5000, by=None).count() == 31
+
+
+def test_any_number_of_first_rows(make_obs):
+    obs = make_obs([("t", i, i) for i in range(6000)])
+    head = accuracy.head_mean_truth(obs, "topic", ["ts", "subject"], n=5000).first()
+    assert head.truth == pytest.approx(sum(range(5000)) / 5000)
 
 
 def test_signature_needs_five_points(make_obs):
@@ -76,12 +83,21 @@ def test_recommendation_by_priority(spark):
     assert (row.recommended, row.confidence) == (profile.APPROXIMATION, 1.0)
     assert row.matching == [profile.APPROXIMATION, profile.CHUNKED]
     assert row.scores.asDict() == {"approximation": 100, "fetching": 0, "chunked": 0}
-    assert row.reasons[0] == "Low variance (5.00) indicates stable stream suitable for approximation"
-    assert row.reasons[-1].startswith("Multiple approaches matched: ")
+    assert [(r.reason, r.field, r.value, r.bound) for r in row.reasons] == [
+        ("steady_values", "variance", 5.0, None), ("repeating_values", "entropy", 1.0, 2.0), ("several_match", "matching", 2.0, 1.0)
+    ]
+    said = profile.reasoning(profile.recommend(both)).select(profile.explained().alias("s")).first().s
+    assert len(said) == 3 and said[1].endswith("(entropy 1, bound 2)")
     partial = profile.recommend(_signature(spark, variance=40.0, entropy=3.5, fft_entropy=9.0)).first()
     assert (partial.recommended, partial.confidence) == (profile.FETCHING, 0.5)
 
 
+def test_a_missing_field_meets_no_bound(spark):
+    """Both bounds of the chunked rule hold; the rule that reads the missing field must not win."""
+    row = profile.recommend(_signature(spark, variance=5.0, triple_count=200, fft_entropy=None)).first()
+    assert (row.recommended, row.confidence, row.matching) == (profile.CHUNKED, 1.0, [profile.CHUNKED])
+
+
 def test_rules_can_be_added_and_removed(spark):
     rule = profile.ApproachRule("custom", 0, at_least={"variance": 1})
     rules = profile.add_rule(profile.DEFAULT_RULES, rule)
@@ -126,6 +142,21 @@ def test_query_features(spark):
     assert (second.agg, second.contained_agg, second.complexity, second.windows) == ("AVG", None, 1, [])
 
 
+def test_query_features_in_other_notation(spark):
+    """Keywords in any case, line breaks between words, ISO sizes, prefixed names, a window without a step."""
+    text = """register istream ex:out as select ?s ( count ( distinct $v )
+      as ?n ) from
+      named window ex:w1 on stream ex:a[range PT1M30S step pt0.5s] from named window <w2> on stream <b> [ RANGE 10 ]
+      where { ?s ?p $v }"""
+    row = querytext.query_features(spark.createDataFrame([(text,)], "query STRING")).first()
+    assert (row.agg, row.output_operator, row.output_name) == ("COUNT", "IStream", "ex:out")
+    assert [tuple(w) for w in row.windows] == [("ex:w1", "ex:a", 90000, 500), ("w2", "b", 10, 10)]
+    assert "select ?s $v from" in " ".join(row.bare_query.split())
+    odd = spark.createDataFrame([("",), ("REGISTER",), ("FROM NAMED WINDOW w",), ("no query",), (None,)], "query STRING")
+    for r in querytext.query_features(odd).collect():
+        assert not r.windows and r.output_operator is None and r.output_name is None
+
+
 def test_query_hash_ignores_white_space(spark):
     df = spark.createDataFrame([(QUERY,), (QUERY.replace("\n", "   \n"),), (QUERY + "x",)], "query STRING")
     a, b, c = (r.h for r in df.select(querytext.query_hash("query").alias("h")).collect())

@@ -94,28 +94,40 @@ def f3(spark, sf_dir):
     )
 
 
-# Signatures per user and topic are many and of every kind; fft_entropy is left to f3.
-_USER_SIGNATURE = """sig AS (
-  SELECT device || '/' || topic AS topic, count(*) * 2 AS triple_count,
-         CAST(count(*) * sum(cents * cents) - sum(cents) * sum(cents) AS DOUBLE) / (count(*) * count(*)) / 10000.0::DOUBLE AS variance,
-         round(log2(count(*)), 6) AS entropy, round(min(value) / 10, 6) AS skewness, round(max(value) / 100, 6) AS fft_entropy
-  FROM obs GROUP BY device, topic)"""
+# Signatures per device and topic are many and of every kind. They are rounded, so that a bound falls on the same
+# side of a value in both engines.
+_USER_SIGNATURE = (
+    """buffer AS (
+  SELECT device || '/' || topic AS topic, value, recency FROM (
+    SELECT *, row_number() OVER (PARTITION BY device, topic ORDER BY ts DESC, subject DESC) AS recency FROM obs)
+  WHERE recency <= 1000),
+"""
+    + _SIGNATURE
+    + """,
+sig AS (
+  SELECT topic, triple_count, spread AS variance, round(entropy, 9) AS entropy, round(skewness, 6) AS skewness,
+    round(fft_entropy, 6) AS fft_entropy
+  FROM signature JOIN (
+    SELECT topic, CAST(count(*) * sum(cents * cents) - sum(cents) * sum(cents) AS DOUBLE) / (count(*) * count(*)) / 10000.0::DOUBLE AS spread
+    FROM (SELECT topic, CAST(round(value * 100) AS BIGINT) AS cents FROM buffer) GROUP BY topic) USING (topic))"""
+)
 
 
 def _user_signature(spark, sf_dir):
-    obs = observations(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    n, total = F.count("value"), F.sum("cents")
-    # In whole numbers, so that both engines get the same bits.
-    spread = n * F.sum(F.col("cents") * F.col("cents")) - total * total
-    return (
-        obs.groupBy(F.concat_ws("/", "device", "topic").alias("topic"))
-        .agg(
-            (F.count("value") * 2).alias("triple_count"),
-            (spread.cast("double") / (n * n) / F.lit(10000.0)).alias("variance"),
-            F.round(F.log2(F.count("value")), 6).alias("entropy"),
-            F.round(F.min("value") / 10, 6).alias("skewness"),
-            F.round(F.max("value") / 100, 6).alias("fft_entropy"),
-        )
+    obs = observations(spark, sf_dir).select(F.concat_ws("/", "device", "topic").alias("topic"), "subject", "ts", "value")
+    buffer = profile.last_n(obs)
+    signature = profile.stream_signature(buffer)
+    # The variance in whole cents, so that both engines get the same bits; it is held against that of the signature.
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    n, total = F.count("value"), F.sum(cents)
+    spread = buffer.groupBy("topic").agg(
+        ((n * F.sum(cents * cents) - total * total).cast("double") / (n * n) / F.lit(10000.0)).alias("spread")
+    )
+    variance = F.when(F.abs(F.col("variance") - F.col("spread")) < 1e-6, F.col("spread")).otherwise(F.col("variance"))
+    return signature.join(spread, "topic").select(
+        "topic", "triple_count", variance.alias("variance"),
+        F.round("entropy", 9).alias("entropy"), F.round("skewness", 6).alias("skewness"),
+        F.round("fft_entropy", 6).alias("fft_entropy"),
     )
 
 
@@ -162,26 +174,22 @@ def f5(spark, sf_dir):
 @query(
     "f6_reasoning",
     with_sql(
-        """SELECT topic, recommended, concat_ws('; ',
-    CASE WHEN recommended LIKE 'approx%' THEN 'Low variance (#) indicates stable stream suitable for approximation' END,
-    CASE WHEN recommended LIKE 'approx%' AND entropy < 2 THEN 'Low entropy (#) suggests predictable patterns' END,
-    CASE WHEN recommended LIKE 'fetching%' THEN 'High variance (#) requires precise fetching approach' END,
-    CASE WHEN recommended LIKE 'fetching%' AND entropy > 3 THEN 'High entropy (#) indicates complex, unpredictable data' END,
-    CASE WHEN recommended LIKE 'chunked%' THEN 'High triple count (' || triple_count || ') benefits from chunked processing' END,
-    CASE WHEN recommended LIKE 'chunked%' AND variance < 30 THEN 'Moderate variance (#) suitable for chunking' END,
-    CASE WHEN (a = 1)::INT + (f = 1)::INT + (c = 1)::INT > 1 THEN 'Multiple approaches matched: ' || concat_ws(', ',
-      CASE WHEN a = 1 THEN 'approximation-approach' END, CASE WHEN f = 1 THEN 'fetching-client-side' END,
-      CASE WHEN c = 1 THEN 'chunked-approach' END) END) AS reasons FROM recommended""",
+        """SELECT topic, recommended, reason, field, CAST(figure AS DOUBLE) AS "value", bound FROM recommended, LATERAL (VALUES
+  (recommended LIKE 'approx%', 'steady_values', 'variance', variance, NULL::DOUBLE),
+  (recommended LIKE 'approx%' AND entropy < 2, 'repeating_values', 'entropy', entropy, 2),
+  (recommended LIKE 'fetch%', 'wide_spread', 'variance', variance, NULL),
+  (recommended LIKE 'fetch%' AND entropy > 3, 'irregular_values', 'entropy', entropy, 3),
+  (recommended LIKE 'chunk%', 'many_triples', 'triple_count', triple_count, NULL),
+  (recommended LIKE 'chunk%' AND variance < 30, 'bounded_spread', 'variance', variance, 30),
+  ((a = 1)::INT + (f = 1)::INT + (c = 1)::INT > 1, 'several_match', 'matching', (a = 1)::INT + (f = 1)::INT + (c = 1)::INT, 1)
+) r(holds, reason, field, figure, bound) WHERE holds""",
         OBS, _USER_SIGNATURE, _RECOMMENDED,
     ),
 )
 def f6(spark, sf_dir):
-    """Decimals are masked: the two engines print halves differently."""
-    recommended = profile.recommend(_user_signature(spark, sf_dir))
-    text = F.array_join("reasons", "; ")
-    return profile.reasoning(recommended).select(
-        "topic", "recommended", F.regexp_replace(text, r"\d+\.\d\d", "#").alias("reasons")
-    )
+    """One row per reason of each recommendation."""
+    told = profile.reasoning(profile.recommend(_user_signature(spark, sf_dir)))
+    return told.select("topic", "recommended", F.explode("reasons").alias("_r")).select("topic", "recommended", "_r.*")
 
 
 @query(
@@ -309,12 +317,11 @@ def f11(spark, sf_dir):
 @query(
     "f12_query_features",
     with_sql(
-        r"""SELECT id, upper(regexp_extract(query, 'SELECT\s*\((\w+)\(', 1)) AS agg,
-  CASE WHEN contains(query, 'SUM') THEN 'SUM' WHEN contains(query, 'AVG') THEN 'AVG'
-       WHEN contains(query, 'COUNT') THEN 'COUNT' WHEN contains(query, 'MIN') THEN 'MIN' ELSE 'MAX' END AS contained_agg,
-  regexp_replace(query, '\(\s*\w+\s*\(\s*\?(\w+)\s*\)\s+AS\s+\?\w+\s*\)', '?\1', 'g') AS bare_query,
-  regexp_extract(query, 'REGISTER (\w+) <([^>]+)>', 1) AS output_operator,
-  regexp_extract(query, 'REGISTER (\w+) <([^>]+)>', 2) AS output_name FROM qlog""",
+        # read off the parts the texts are made of
+        r"""SELECT id, agg, CASE WHEN agg IN ('AVG', 'COUNT', 'SUM') THEN agg ELSE 'MAX' END AS contained_agg,
+  replace(query, '(' || agg || '(?v) AS ?' || event_type || ')', '?v') AS bare_query, output_operator, 'out' || user_id AS output_name
+FROM (SELECT *, ['AVG', 'MAX', 'COUNT', 'SUM'][event_id % 4 + 1] AS agg,
+        ['RStream', 'IStream', 'DStream'][event_id % 3 + 1] AS output_operator FROM qlog JOIN events ON id = event_id)""",
         _QUERY_LOG,
     ),
 )

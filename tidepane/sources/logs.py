@@ -58,7 +58,8 @@ def unified_value(message: str) -> Column:
 
 
 def published_unified(message: str) -> Column:
-    return _number_after(message, r"Successfully published unified cross-sensor [\w\s]+:\s*")
+    # Fixed value: the prefix of these messages; what they name stands before the colon.
+    return _number_after(message, r"Successfully published unified [^:]*:\s*")
 
 
 def published_result(message: str) -> Column:
