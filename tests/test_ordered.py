@@ -39,6 +39,28 @@ def test_group_sizes(skewed):
     assert group_sizes(skewed, ["topic"]) == (720, 900)
 
 
+def test_running_sums_have_equal_bits_however_windows_are_cut(make_obs):
+    """Hundredths that no double holds exactly: sums of whole numbers don't depend on the blocks they pass."""
+    rng = random.Random(8)
+    obs = make_obs([("t", i % 700, rng.randrange(10**7) / 100) for i in range(3000)])
+    got = [
+        rows(windows.running_window_agg(obs, "10 minutes", "5 minutes", max_group_rows=n, scale=2), "subject", "w_start", "run_sum", "run_avg")
+        for n in (None, 100)
+    ]
+    assert got[0] == got[1]
+
+
+def test_blocks_of_a_partition_stay_small(skewed, monkeypatch):
+    """Too few range partitions for the rows: they are cut by position, so the limit holds at any size."""
+    from tidepane.operators import ordered
+
+    monkeypatch.setattr(ordered, "MAX_RANGE_PARTITIONS", 1)
+    blocks = to_blocks(skewed, ["topic"], ["ts", "subject"], 10)
+    assert blocks.df.groupBy("topic", "_block").count().agg(F.max("count")).first()[0] <= 10
+    got = ordinal(skewed, ["topic"], ["ts", "subject"], "n", 10)
+    assert rows(got, "subject", "n") == rows(ordinal(skewed, ["topic"], ["ts", "subject"]), "subject", "n")
+
+
 def test_small_groups_stay_whole(skewed):
     assert not to_blocks(skewed, ["topic"], ["ts", "subject"]).split
 
@@ -102,9 +124,10 @@ def test_first_n(skewed):
         assert [r.n for r in mine] == list(range(1, len(want) + 1))
 
 
-def test_first_n_refuses_unbounded_limits(skewed):
-    with pytest.raises(ValueError):
-        first_n(skewed, ["topic"], ["ts"], 100_000)
+def test_first_n_takes_any_number(skewed):
+    """Beyond the number up to which Spark cuts groups in its map tasks, too."""
+    got = first_n(skewed, ["topic"], ["ts", "subject"], 5000, "n")
+    assert rows(got, "subject", "n") == rows(ordinal(skewed, ["topic"], ["ts", "subject"]), "subject", "n")
 
 
 @pytest.mark.parametrize("limit", [None, SMALL // 4])

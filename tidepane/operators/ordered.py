@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, isfinite
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +30,9 @@ from tidepane.session import cut_lineage
 MAX_GROUP_ROWS = 1_000_000
 # Blocks are made smaller than that, so that they spread evenly over tasks.
 BLOCKS_PER_LIMIT = 8
-# Large groups whose borders are kept on the driver; there are at most (all rows / limit) of them.
-MAX_LARGE_GROUPS = 10_000
-# Range blocks beyond this number cost more in shuffle bookkeeping than smaller sorts save.
-MAX_RANGE_BLOCKS = 50_000
-# Longest list that a map-side group limit can bound before the shuffle (Spark's own threshold).
-GROUP_LIMIT = 1000
+# Range partitions beyond this number cost more in shuffle bookkeeping than smaller sorts save; larger partitions are
+# cut into blocks by position.
+MAX_RANGE_PARTITIONS = 50_000
 SALTS = 64
 
 _BLOCK = "_block"
@@ -69,10 +66,7 @@ class Blocks:
 
 
 def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """Row counts of the largest group and of all groups.
-
-    Reads only the key columns, counted before the shuffle.
-    """
+    """Row counts of the largest group and of all groups, counted before the shuffle."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     largest, total = counts.agg(F.max("n"), F.sum("n")).first()
     return largest or 0, total or 0
@@ -84,13 +78,23 @@ def to_blocks(
     """Cut ``df`` into ordered blocks if some group is too large for one task.
 
     ``order`` must be a total order within a group (end it with a unique id), so that equal sort
-    keys can be spread over several blocks too.
+    keys can be spread over several blocks too. One pass over the keys and the first order column measures all groups.
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    largest, total = group_sizes(df, by)
+    at = _position(df, order[0])
+    place = F.lit(None).cast("double") if at is None else at
+    figures = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(place).alias("_from"), F.max(place).alias("_to")
+    )
+    measured = cut_lineage(figures)  # a row per group
+    span = F.col("_to") - F.col("_from")
+    uneven = (F.col("_n") > limit) & ~F.coalesce((span > 0) & (span < float("inf")), F.lit(False))
+    row = measured.agg(F.max("_n"), F.sum("_n"), F.coalesce(F.max(uneven), F.lit(False))).first()
+    largest, total, uneven_found = row[0] or 0, row[1] or 0, row[2]
     if largest <= limit:
         return Blocks(df, tuple(by), tuple(order))
-    return _step_blocks(df, by, order, limit) or _range_blocks(df, by, order, limit, total)
+    cut = None if at is None or not by or uneven_found else _step_blocks(df, by, order, limit, at, measured)
+    return cut or _range_blocks(df, by, order, limit, total)
 
 
 def _position(df: DataFrame, column: str) -> Column | None:
@@ -102,32 +106,18 @@ def _position(df: DataFrame, column: str) -> Column | None:
 
 
 def _step_blocks(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int
+    df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, at: Column, measured: DataFrame
 ) -> Blocks | None:
     """Blocks of equal steps of the first order column; None if some block would be too large."""
-    at = _position(df, order[0])
-    if at is None or not by:
-        return None
-    large = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to"))
-        .filter(F.col("_n") > limit)
+    borders = (
+        measured.filter(F.col("_n") > limit)
         .withColumn("_steps", F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / limit))
+        .select(*by, "_from", "_to", "_steps")
     )
-    # Few by definition: each large group holds more than ``limit`` rows.
-    found = large.limit(MAX_LARGE_GROUPS + 1).collect()
-    if len(found) > MAX_LARGE_GROUPS or any(
-        r["_from"] is None or not isfinite(r["_to"] - r["_from"]) or r["_to"] <= r["_from"] for r in found
-    ):
-        return None
-    borders = df.sparkSession.createDataFrame(found, large.schema)
-    borders = borders.select(*[F.col(k).alias(f"_b_{k}") for k in by], "_from", "_to", "_steps")
-    on = [df[k].eqNullSafe(borders[f"_b_{k}"]) for k in by]
     step = F.floor((at - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_steps"))
     # Small groups are one block; nulls sort first.
     block = F.when(F.col("_from").isNull(), F.lit(0)).otherwise(F.coalesce(step, F.lit(-1)))
-    # At most MAX_LARGE_GROUPS rows, as checked above: safe to broadcast.
-    cut = df.join(F.broadcast(borders), on, "left").withColumn(_BLOCK, block.cast("bigint")).select(*df.columns, _BLOCK)
+    cut = attach(df, borders, by).withColumn(_BLOCK, block.cast("bigint")).select(*df.columns, _BLOCK)
     sizes = cut_lineage(cut.groupBy(*by, _BLOCK).agg(F.count(F.lit(1)).alias("_size")))
     if sizes.agg(F.max("_size")).first()[0] > limit:
         return None
@@ -137,12 +127,16 @@ def _step_blocks(
 def _range_blocks(
     df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, total: int
 ) -> Blocks:
-    """Blocks by range partitioning on group and whole order."""
+    """Blocks of at most ``limit`` rows: range partitions on group and whole order, cut by position inside."""
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(default, min(ceil(2 * total / limit), MAX_RANGE_BLOCKS))
-    ranged = df.repartitionByRange(blocks, *by, *order).withColumn(_BLOCK, F.spark_partition_id())
+    parts = max(default, min(ceil(2 * total / limit), MAX_RANGE_PARTITIONS))
+    ranged = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    # Spark's row ids hold the partition above bit 33 and count the sorted rows of a partition below it.
+    row = F.monotonically_increasing_id()
+    inside = F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / limit)
+    cut = ranged.withColumn(_BLOCK, F.shiftright(row, 33) * F.lit(1 << 33) + inside)
     # The checkpoint fixes block numbers: all uses below must see the same range borders.
-    saved = cut_lineage(ranged)
+    saved = cut_lineage(cut)
     sizes = saved.groupBy(*by, _BLOCK).agg(F.count(F.lit(1)).alias("_size"))
     return Blocks(saved, tuple(by), tuple(order), sizes)
 
@@ -275,15 +269,14 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, numbered from 1.
 
-    Each map task keeps at most ``n`` rows per group. The kept rows of some tasks at a time are cut
-    again before the whole group meets in one task, so at most ``SALTS * n`` rows arrive there.
+    Spark keeps at most ``n`` rows per group in each map task (for an ``n`` up to its own threshold; beyond it, all
+    rows of a group are spread over ``SALTS`` tasks). The kept rows of some tasks at a time are cut again before
+    the whole group meets in one task, so at most ``SALTS * n`` rows arrive there, for any ``n``.
     Without group keys this is a plain top-n over the whole frame.
     """
     if not by:
         top = df.orderBy(*order).limit(n)
         return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    if n > GROUP_LIMIT:
-        raise ValueError(f"first_n keeps at most {GROUP_LIMIT} rows per group; use ordinal()")
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     inner = Window.partitionBy(*by, "_salt").orderBy(*order)
     outer = Window.partitionBy(*by).orderBy(*order)

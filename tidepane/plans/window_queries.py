@@ -123,12 +123,8 @@ FROM (SELECT subject, topic, w_start, count(*) OVER w AS run_count, min(value) O
     ),
 )
 def c6(spark, sf_dir):
-    running = windows.running_window_agg(observations(spark, sf_dir), *SUB)
-    return running.select(
-        "subject", "topic", "w_start", "run_count", "run_min", "run_max",
-        F.round("run_sum", 2).alias("run_sum"),
-        (F.round("run_sum", 2) / F.col("run_count")).alias("run_avg"),
-    )
+    running = windows.running_window_agg(observations(spark, sf_dir), *SUB, scale=SCALE)
+    return running.select("subject", "topic", "w_start", "run_count", "run_min", "run_max", "run_sum", "run_avg")
 
 
 @query(
