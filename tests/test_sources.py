@@ -160,6 +160,19 @@ def test_fixpoint(spark):
         rules.derive_fixpoint(chain, [transitive], max_iter=1)
 
 
+def test_fixpoint_of_many_rounds(spark):
+    """One step a round: thirty rounds from the newest triples alone, the same as from all known ones."""
+    chain = spark.createDataFrame([("n0", "at", "0"), *[(str(i), "then", str(i + 1)) for i in range(30)]], "s STRING, p STRING, o STRING")
+
+    def walk(fresh, known):
+        at, then = patterns.match(fresh, p="at"), patterns.match(known, p="then")
+        step = at.select("s", F.col("o").alias("k")).join(then.select(F.col("s").alias("k"), "o"), "k")
+        return step.select("s", F.lit("at").alias("p"), "o")
+
+    derived = rules.derive_fixpoint(chain, joins=[walk])
+    assert sorted(int(r.o) for r in derived.collect()) == list(range(1, 31))
+
+
 def test_static_facts(spark):
     stream = spark.createDataFrame([("a", 1), ("b", 2)], "topic STRING, v INT")
     static = spark.createDataFrame([("a", "room 1")], "topic STRING, place STRING")

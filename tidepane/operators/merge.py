@@ -95,7 +95,8 @@ def merge_windows(win: DataFrame, width: str | int, slide: str | int, agg: str)
     if kind in ("MIN", "MAX"):
         value = {"MIN": F.min, "MAX": F.max}[kind]("value")
     elif kind == "AVG":
-        value = F.coalesce(F.try_divide(F.sum(F.col("value") * overlap), F.sum(overlap)), F.lit(0.0))
+        weight = F.when(F.col("value").isNotNull(), overlap)  # a window without a value has no weight
+        value = F.coalesce(F.try_divide(F.sum(F.col("value") * overlap), F.sum(weight)), F.lit(0.0))
     else:
         share = F.when(F.col("w_us") > 0, F.col("value") * overlap / F.col("w_us"))
         value = F.coalesce(F.sum(share), F.lit(0.0))

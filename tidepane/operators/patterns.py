@@ -91,8 +91,15 @@ def group_agg(
 
 def simple_agg(df: DataFrame, agg: str, col: str = "o", scale: int | None = None) -> DataFrame:
     """One aggregate over all objects that are numbers; an empty SUM, AVG or COUNT is 0."""
+    return simple_aggs(df, [agg], col, scale).withColumnRenamed(agg, "result")
+
+
+def simple_aggs(df: DataFrame, aggs: Sequence[str], col: str = "o", scale: int | None = None) -> DataFrame:
+    """Several aggregates over all objects that are numbers, in one pass and one row, named as they are given."""
     value = df.select(F.col(col).try_cast("double").alias("v"))
-    result = final(agg, "v", scale)
-    if agg.upper() in ("SUM", "AVG", "COUNT"):
-        result = F.coalesce(result, F.lit(0.0))
-    return value.agg(result.alias("result"))
+
+    def result(agg: str) -> Column:
+        out = final(agg, "v", scale).cast("double")
+        return F.coalesce(out, F.lit(0.0)) if agg.upper() in ("SUM", "AVG", "COUNT") else out
+
+    return value.agg(*[result(agg).alias(agg) for agg in aggs])

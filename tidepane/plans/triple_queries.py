@@ -318,12 +318,10 @@ UNION ALL SELECT 'MIN', min(value) FROM obs UNION ALL SELECT 'MAX', max(value) F
 )
 def b8(spark, sf_dir):
     values = patterns.match(_triples(spark, sf_dir), p=HAS_VALUE)
-    return patterns.union_streams(
-        *[
-            patterns.simple_agg(values, agg, scale=SCALE).select(F.lit(agg).alias("agg"), "result")
-            for agg in ("AVG", "SUM", "COUNT", "MIN", "MAX")
-        ]
-    )
+    kinds = ("AVG", "SUM", "COUNT", "MIN", "MAX")
+    row = patterns.simple_aggs(values, kinds, scale=SCALE)
+    pairs = [x for kind in kinds for x in (F.lit(kind), F.col(kind))]
+    return row.select(F.stack(F.lit(len(kinds)), *pairs).alias("agg", "result"))
 
 
 @query(
@@ -386,8 +384,15 @@ def i3(spark, sf_dir):
         fact(table(spark, sf_dir, "region"), key("r", "r_regionkey"), F.lit("world")),
     )
 
-    def transitive(known):
-        steps = patterns.bgp(known, [("?a", "partOf", "?b"), ("?b", "partOf", "?c")])
+    def transitive(fresh, known):
+        def link(df, s, o):
+            return patterns.match(df, p="partOf").select(F.col("s").alias(s), F.col("o").alias(o))
+
+        # a new link continues a known one, or is continued by one
+        steps = patterns.union_streams(
+            link(fresh, "a", "b").join(link(known, "b", "c"), "b"),
+            link(known, "a", "b").join(link(fresh, "b", "c"), "b"),
+        )
         return fact(steps, F.col("a"), F.col("c"))
 
-    return rules.derive_fixpoint(facts, [transitive])
+    return rules.derive_fixpoint(facts, joins=[transitive])

@@ -62,3 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def save_round(df: DataFrame, folder: str, number: int) -> DataFrame:
+    """The rows of a round of an iteration as a table of its own in ``folder``, read back.
+
+    For loops of many rounds with joins: a checkpoint keeps the estimated size of its plan, the size of a join is the
+    product of those of its sides, and so the digits of the estimate double with each round until planning stands
+    still. A table read back has the size of its files.
+    """
+    path = f"{folder}/round-{number}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_round(spark: SparkSession, folder: str, number: int) -> None:
+    """Removes what :func:`save_round` wrote for a round that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/round-{number}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
