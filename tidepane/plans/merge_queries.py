@@ -208,6 +208,21 @@ def e6_count(spark, sf_dir):
     return merge.merge_naive(sub_results(spark, sf_dir), *OUT, "COUNT")
 
 
+@query("e6_merge_naive_sum", with_sql(_per_target("round(sum(value), 6)"), OBS, sql_sub("SUM"), _OVER))
+def e6_sum(spark, sf_dir):
+    return merge.merge_naive(sub_results(spark, sf_dir, "SUM"), *OUT, "SUM").withColumn("value", F.round("value", 6))
+
+
+@query("e6_merge_naive_min", with_sql(_per_target("min(value)"), OBS, sql_sub("MIN"), _OVER))
+def e6_min(spark, sf_dir):
+    return merge.merge_naive(sub_results(spark, sf_dir, "MIN"), *OUT, "MIN")
+
+
+@query("e6_merge_naive_max", with_sql(_per_target("max(value)"), OBS, sql_sub("MAX"), _OVER))
+def e6_max(spark, sf_dir):
+    return merge.merge_naive(sub_results(spark, sf_dir, "MAX"), *OUT, "MAX")
+
+
 @query(
     "e7_latest_by_topic",
     with_sql("SELECT topic, max(ts) AS ts, arg_max(value, ts) AS value FROM obs GROUP BY topic", OBS),
@@ -294,6 +309,16 @@ def e9_max(spark, sf_dir):
     return _unify(spark, sf_dir, "MAX")
 
 
+@query("e9_unify_min", _unify_sql("MIN", "MIN", "min(value)", "min({})"))
+def e9_min(spark, sf_dir):
+    return _unify(spark, sf_dir, "MIN")
+
+
+@query("e9_unify_sum", _unify_sql("SUM", "SUM", _SPREAD, "sum({})"))
+def e9_sum(spark, sf_dir):
+    return _unify(spark, sf_dir, "SUM")
+
+
 @query(
     "e10_individual_results",
     with_sql(

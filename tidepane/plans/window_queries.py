@@ -295,6 +295,28 @@ def d2(spark, sf_dir):
     return panes.chunk_combine(results, *OUT, "AVG").withColumn("value", F.round("value", 9))
 
 
+def _register_chunks() -> None:
+    """D2 for the other aggregates: panes report one, and a window combines what its panes report."""
+    combined = {
+        "SUM": 'round(sum("sum"), 4)',
+        "COUNT": "CAST(count(*) AS DOUBLE)",  # panes that report, not rows in them
+        "MIN": 'min("min")',
+        "MAX": 'max("max")',
+    }
+    for agg, expression in combined.items():
+        sql = f"SELECT w_start, w_end, {expression} AS value, count(*) AS n_panes FROM pane_windows GROUP BY w_start, w_end"
+
+        def run(spark, sf_dir, agg=agg):
+            results = panes.pane_results(_panes(spark, sf_dir), agg)
+            out = panes.chunk_combine(results, *OUT, agg)
+            return out.withColumn("value", F.round("value", 4)) if agg == "SUM" else out
+
+        query(f"d2_chunk_combine_{agg.lower()}", with_sql(sql, OBS, _PANES))(run)
+
+
+_register_chunks()
+
+
 @query(
     "d3_chunk_combine_by_topic",
     with_sql(
