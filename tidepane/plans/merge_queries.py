@@ -354,24 +354,57 @@ def e11(spark, sf_dir):
 @query(
     "e12_result_record",
     with_sql(
-        """SELECT t_start, t_end, epoch_ms(t_end) AS at_ms, count(*) AS topics, min(topic) AS first_topic
-FROM (SELECT DISTINCT topic, t_start, t_end FROM asof_rows
-      UNION SELECT topic, t_start, t_end FROM over_t) GROUP BY t_start, t_end""",
+        """SELECT t_start, t_end, epoch_ms(t_end) AS at_ms, epoch_ms(t_start) AS start_ms, epoch_ms(t_end) AS end_ms,
+  CAST(coalesce(CASE WHEN n_latest >= 2 THEN of_latest ELSE of_merged END, 0.0) AS DOUBLE) AS result, true AS without_average,
+  'MAX' AS kind, individual, n_merged AS valid_buffers, 5::BIGINT AS expected, names AS available,
+  CASE WHEN n_latest >= 2 THEN n_latest ELSE n_merged END AS topic_count,
+  CASE WHEN n_latest >= 2 THEN n_latest ELSE n_merged END >= 2 AS several, names AS used, n_latest AS available_latest,
+  n_latest >= 2 AS using_latest
+FROM (
+  SELECT t_start, t_end, count(latest) AS n_latest, count(merged) AS n_merged, max(latest) AS of_latest, max(merged) AS of_merged,
+    string_agg(topic, ',' ORDER BY topic) AS names, string_agg(topic || '=' || printf('%.2f', coalesce(nullif(merged, 0),
+      nullif(buffered, 0), nullif(latest, 0), merged, buffered, latest)), ';' ORDER BY topic) AS individual
+  FROM asof_rows FULL JOIN merged USING (topic, t_start, t_end) GROUP BY t_start, t_end)""",
         OBS, sql_sub("MAX"), _ARRIVED, _OVER, _ASOF.format("arrived"),
+        """merged AS (SELECT topic, t_start, t_end, max(value) AS merged, arg_max(value, w_end) AS buffered
+  FROM parts GROUP BY ALL)""",
     ),
 )
 def e12(spark, sf_dir):
-    """Fields read back out of the nested record and its JSON text."""
+    """Every field of the nested record, read back out of its JSON text."""
     win = published(sub_results(spark, sf_dir, "MAX"))
     merged, latest = merge.merge_windows(win, *OUT, "MAX"), _latest(win)
     individual = merge.individual_results(merged, merge.buffered_latest(win, *OUT), latest)
     record = merge.result_record(merge.unify(merged, latest, "MAX"), individual, "MAX", len(TOPICS))
+
+    def read(path: str, kind: str):
+        return F.get_json_object("json", f"$.{path}").cast(kind)
+
+    def names(path: str):
+        return F.array_join(F.from_json(read(path, "string"), "array<string>"), ",")
+
+    topics = F.from_json(read("individualTopics", "string"), "map<string,double>")
+    entries = F.transform(
+        F.array_sort(F.map_entries(topics)), lambda e: F.format_string("%s=%.2f", e["key"], e["value"])
+    )
     return record.select(
         "t_start",
         "t_end",
-        F.get_json_object("json", "$.timestamp").cast("bigint").alias("at_ms"),
-        F.size("record.individualTopics").cast("bigint").alias("topics"),
-        F.get_json_object("json", "$.metadata.availableTopics[0]").alias("first_topic"),
+        read("timestamp", "bigint").alias("at_ms"),
+        read("window.start", "bigint").alias("start_ms"),
+        read("window.end", "bigint").alias("end_ms"),
+        read("unifiedResult", "double").alias("result"),
+        F.col("record.unifiedAverage").isNull().alias("without_average"),
+        read("aggregationType", "string").alias("kind"),
+        F.array_join(entries, ";").alias("individual"),
+        read("metadata.validBuffers", "bigint").alias("valid_buffers"),
+        read("metadata.expectedTopics", "bigint").alias("expected"),
+        names("metadata.availableTopics").alias("available"),
+        read("metadata.topicCount", "bigint").alias("topic_count"),
+        read("metadata.hasMultipleTopics", "boolean").alias("several"),
+        names("metadata.latestValuesUsed").alias("used"),
+        read("metadata.globalValuesAvailable", "bigint").alias("available_latest"),
+        read("metadata.usingGlobalValues", "boolean").alias("using_latest"),
     )
 
 
