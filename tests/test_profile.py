@@ -87,7 +87,7 @@ def test_recommendation_by_priority(spark):
         ("steady_values", "variance", 5.0, None), ("repeating_values", "entropy", 1.0, 2.0), ("several_match", "matching", 2.0, 1.0)
     ]
     said = profile.reasoning(profile.recommend(both)).select(profile.explained().alias("s")).first().s
-    assert len(said) == 3 and said[1].endswith("(entropy 1, bound 2)")
+    assert len(said) == 3 and said[1].endswith("(entropy 1.00, bound 2.00)")
     partial = profile.recommend(_signature(spark, variance=40.0, entropy=3.5, fft_entropy=9.0)).first()
     assert (partial.recommended, partial.confidence) == (profile.FETCHING, 0.5)
 

@@ -66,7 +66,7 @@ def _projection(query: str) -> Column:
 
 def selected_aggregate(query: str) -> Column:
     """The first function that is called in the projection, in capitals; AVG if there is none."""
-    calls = F.regexp_extract_all(_projection(query), F.lit(r"(\w+)\s*\("), F.lit(1))
+    calls = F.regexp_extract_all(_projection(query), F.lit(r"(?<![?$\w])(\w+)\s*\("), F.lit(1))
     return F.upper(F.coalesce(F.get(calls, F.lit(0)), F.lit("AVG")))
 
 
