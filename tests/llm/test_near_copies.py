@@ -85,6 +85,13 @@ def test_odd_texts_and_repeated_rows(make_docs):
     assert simhash.keep_one(twice).count() == len(texts)
 
 
+def test_a_long_chain(spark):
+    """Many rounds: plans must not grow from one to the next."""
+    links = spark.range(3000).selectExpr("(id * 7919) % 3001 AS u", "((id + 1) * 7919) % 3001 AS v")
+    found = components.component_roots(links)
+    assert (found.count(), found.filter("root <> 0").count()) == (3001, 0)
+
+
 @pytest.mark.parametrize("links, expected", [
     ([], {}),
     ([(1, 1)], {}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepane.session import cut_lineage
+from tidepane.session import drop_round, save_round, staging_path
 
 
 def _contract(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,11 +32,13 @@ def _contract(edges: DataFrame, small: bool) -> DataFrame:
 def component_roots(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``u``, ``v``); the root is the smallest node reachable.
 
-    Rounds go on until the links no longer change, about log n of them; each is saved to the shared folder.
+    Rounds go on until the links no longer change, about log n of them; each is saved to the shared folder, and the
+    one before it removed.
     """
-    edges = cut_lineage(
-        links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
+    spark = links.sparkSession
+    folder, rounds = staging_path(spark, "components"), 0
+    distinct = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = save_round(distinct, folder, rounds)
     mark = None
     while True:
         row = edges.select(
@@ -47,4 +49,6 @@ def component_roots(links: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         mark = tuple(row)
-        edges = cut_lineage(_contract(_contract(edges, small=False), small=True))
+        rounds += 1
+        edges = save_round(_contract(_contract(edges, small=False), small=True), folder, rounds)
+        drop_round(spark, folder, rounds - 1)
