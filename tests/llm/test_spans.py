@@ -3,7 +3,9 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,13 @@ def test_secrets_against_brute_force(make_docs):
     assert [[tuple(s) for s in r.secrets] for r in rows] == [plain_secrets(t or "") for t in texts]
     assert sum(s.kind == "entropy" for r in rows for s in r.secrets) > 20
     assert secret_scan.with_secrets(docs.limit(0)).count() == 0
+    con = duckdb.connect()
+    documents = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    con.register("documents", documents)
+    told = {r[0]: r for r in con.sql(secret_scan.ORACLE).fetchall()}
+    for r in rows:
+        named = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.secrets)
+        assert told[r.doc_id][-1] == named
 
 
 def test_secret_query(spark, small_texts):

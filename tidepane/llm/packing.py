@@ -3,9 +3,10 @@
 Texts are encoded, closed with an end id and cut into pieces only where they exceed a sequence. Pieces are dealt into
 groups of about ``GROUP`` pieces of the table, and each group is packed in one task from the numbers of its pieces: a group
 loses less than one sequence against packing all at once. Inside a group best fit over the lengths, longest first,
-gives the first solution. If it needs more sequences than the lower bound, bin completion looks for a better one: depth
+gives the first solution. If it needs more sequences than the lower bound, bin completion looks for a better one for the
+``TAIL`` emptiest sequences together (all of them in a small group), again and again while that saves one: depth
 first, it takes the longest piece left, lists the fillings around it that no other filling dominates, the fullest
-first, and drops a branch once its waste exceeds what a better solution may waste. The search ends at the bound or
+first, and drops a branch once its waste exceeds what a better solution may waste. A search ends at the bound or
 after ``NODES`` nodes and the best solution so far counts; no piece is ever left out.
 
 A null text is empty and makes a piece of the end id alone. Rows with equal ids, and null ids, are rows of their own.
@@ -29,6 +30,9 @@ from tidepane.session import cut_lineage
 GROUP = 100_000
 #: Nodes of the search for a better solution than best fit; a limit of effort only.
 NODES = 2_000
+#: Sequences that are packed anew together, and how often.
+TAIL = 64
+ROUNDS = 50
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -172,6 +176,20 @@ def complete(sizes: list[int], capacity: int, incumbent: list[list[int]], nodes:
     return incumbent
 
 
+def improve(bins: list[list[int]], capacity: int, bound: int) -> list[list[int]]:
+    """Bin completion of the emptiest bins, while it saves one and there are more bins than ``bound``."""
+    for _ in range(ROUNDS):
+        if len(bins) <= bound:
+            break
+        bins = sorted(bins, key=sum)
+        emptiest, rest = bins[:TAIL], bins[TAIL:]
+        packed = complete(sorted((s for b in emptiest for s in b), reverse=True), capacity, emptiest)
+        if len(packed) == len(emptiest):
+            break
+        bins = packed + rest
+    return bins
+
+
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every piece of one group."""
     order = np.argsort(-sizes, kind="stable")
@@ -181,9 +199,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     bins = [[capacity]] * full
     if rest:
         solution = best_fit(rest, capacity)
-        if len(solution) > lower_bound(rest, capacity):
-            solution = complete(rest, capacity, solution)
-        bins = bins + solution
+        bins = bins + improve(solution, capacity, lower_bound(rest, capacity))
     # pieces of one length are alike: hand the places of a length out in order
     flat = np.array([s for b in bins for s in b], np.int64)
     counts = np.array([len(b) for b in bins], np.int64)

@@ -101,7 +101,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
-@query("op4_secret_scan")
+@query("op4_secret_scan", secret_scan.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: counts and a digest of the base spans, and all spans."""
     found = secret_scan.with_secrets(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "secrets")

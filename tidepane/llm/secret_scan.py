@@ -171,3 +171,53 @@ def joined(spans: Column) -> Column:
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
         ",",
     )
+
+
+def _oracle() -> str:
+    """The query's rows in SQL: candidates are all runs, and their windows are counted anew instead of slid."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''").replace('\\"', '"').replace("\\'", "'") + "'"
+
+    assign = quoted(ASSIGN.replace('[\\"\']', "[\"']"))
+    kinds = [(0, assign, 2, ASSIGN_LENGTH), (1, quoted(ACCESS), 0, 0), (2, quoted(HEX), 0, 0), (3, "'[A-Za-z0-9+/_=-]{20,}'", 0, 0)]
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, string_split_regex(t, {p}) AS gap, regexp_extract_all(t, {p}) AS hit, "
+        f"regexp_extract_all(t, {p}, {group}) AS held, {least} AS least FROM docs WHERE regexp_matches(t, {p})"
+        for rank, p, group, least in kinds
+    )
+    bound = " ".join(f"WHEN regexp_matches(word, {quoted(p)}) THEN {bits}" for p, bits in CLASSES[:-1])
+    simple = [p for p in ALLOWED if "\\1" not in p]
+    allowed = " OR ".join(f"regexp_matches(word, {quoted(p)})" for p in simple)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({parts}),
+placed AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM parts),
+spans AS (
+  SELECT doc_id, rank, hit[i] AS word, CAST(list_sum(list_transform(gap[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM placed WHERE length(held[i]) >= least
+), base AS (SELECT * FROM spans WHERE rank < 3),
+candidates AS (
+  SELECT * FROM spans c WHERE rank = 3 AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[A-Za-z]') AND NOT ({allowed})
+    AND NOT EXISTS (FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.s + length(c.word) AND c.s < b.s + length(b.word))
+    AND NOT list_bool_or(list_transform(range(1, length(word) - 6), lambda k: word[k:k + 7] = repeat(word[k:k], 8)))
+), windows AS (SELECT doc_id, s, word, unnest(range(1, length(word) - {WINDOW} + 2)) AS k FROM candidates),
+signs AS (
+  SELECT doc_id, s, word, k, sign, count(*) / {WINDOW} AS share
+  FROM (SELECT *, unnest(string_split(word[k:k + {WINDOW - 1}], '')) AS sign FROM windows) GROUP BY ALL
+), best AS (
+  SELECT doc_id, s, word, max(bits) AS bits FROM (SELECT doc_id, s, word, k, -sum(share * log2(share)) AS bits FROM signs GROUP BY ALL)
+  GROUP BY ALL
+), every AS (
+  SELECT doc_id, rank, s, s + length(word) AS e FROM base
+  UNION ALL SELECT doc_id, 3, s, s + length(word) FROM best WHERE bits >= CASE {bound} ELSE {CLASSES[-1][1]} END
+), named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || s || ':' || e AS name FROM every)
+SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+  count(*) FILTER (WHERE rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY s, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(name, ',' ORDER BY s, rank), '') AS spans
+FROM docs LEFT JOIN named USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE = _oracle()
