@@ -20,6 +20,11 @@ def test_average_is_weighted_by_overlap(make_windows):
     assert got[("t", 60.0)] == pytest.approx(20)
 
 
+def test_a_window_without_a_value_has_no_weight(make_windows):
+    win = make_windows([("t", 0, 60, 10), ("t", 0, 60, -1)]).withColumn("value", F.when(F.col("value") > 0, F.col("value")))
+    assert _targets(merge.merge_windows(win, "60 seconds", "60 seconds", "AVG")) == {("t", 0.0): 10.0}
+
+
 def test_sum_is_spread_over_the_window(make_windows):
     win = make_windows([("t", 0, 60, 12), ("t", 30, 90, 6)])
     got = _targets(merge.merge_windows(win, "60 seconds", "60 seconds", "SUM"))

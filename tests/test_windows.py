@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import at, rows, seconds
-from tidepane.functions.timegrid import common_period_us, duration_us, pane_us
-from tidepane.operators import panes, windows
+from tidepane.functions.timegrid import common_period_us, duration_us, explode_range, pane_us
+from tidepane.operators import merge, panes, windows
 
 
 def test_alignment_of_starts(make_obs):
@@ -168,3 +168,16 @@ def test_one_grid_in_every_zone(spark, zone):
 
 def test_epoch_in_every_zone(spark, zone):
     test_alignment_at_the_epoch(spark)
+
+
+def test_long_ranges_are_laid_out_in_runs(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', 5L, 1000004L), ('b', 3L, 2L), ('c', 7L, 7L), ('d', NULL, 3L) AS t(k, x, y)")
+    got = explode_range(df, "n", F.col("x"), F.col("y")).groupBy("k").agg(F.count("n"), F.min("n"), F.max("n"), F.countDistinct("n"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1000000, 5, 1000004, 1000000), ("c", 1, 7, 7, 1)]
+
+
+def test_a_silence_of_a_million_slides(make_obs):
+    """The latest value is carried over every slide of a long silence, without an array of that length."""
+    obs = make_obs([("t", 0, 1), ("t", 1_000_000, 2)])
+    got = merge.asof_latest(obs, "2 seconds", "1 second")
+    assert (got.count(), got.filter("latest = 1.0").count()) == (1_000_001, 1_000_000)

@@ -70,3 +70,15 @@ def pane_us(*durations: str | int) -> int:
 def common_period_us(*durations: str | int) -> int:
     """Shortest time after which all given slides meet again."""
     return lcm(*[duration_us(d) for d in durations])
+
+
+def explode_range(df: DataFrame, name: str, first: Column, last: Column, run: int = 4096) -> DataFrame:
+    """A row per whole number from ``first`` to ``last`` (none if it is less), added as ``name``.
+
+    Numbers are laid out in runs of ``run``, so a row holds no array longer than that or than the number of runs.
+    """
+    first, last = first.cast("bigint"), last.cast("bigint")
+    runs = F.when(first <= last, F.sequence(first, last, F.lit(run).cast("bigint")))
+    begun = df.withColumn("_last", last).withColumn("_run", F.explode(runs))
+    numbers = F.sequence(F.col("_run"), F.least(F.col("_run") + (run - 1), F.col("_last")))
+    return begun.withColumn(name, F.explode(numbers)).drop("_run", "_last")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.aggregates import check_aggregate
 from tidepane.functions.timegrid import (
     duration_us,
+    explode_range,
     from_micros,
     micros,
     start_offset_us,
@@ -205,7 +206,7 @@ def asof_latest(
     )
     until_next = F.coalesce(F.col("_next") - 1, F.lit(last_k))
     end = F.col("_t") * slide_us
-    return following.withColumn("_t", F.explode(F.sequence(F.col("_k"), until_next))).select(
+    return explode_range(following, "_t", F.col("_k"), until_next).select(
         "topic",
         from_micros(end - width_us, dtype).alias("t_start"),
         from_micros(end, dtype).alias("t_end"),

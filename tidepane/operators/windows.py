@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.aggregates import check_aggregate, final
 from tidepane.functions.timegrid import (
     duration_us,
+    explode_range,
     from_micros,
     interval,
     micros,
@@ -191,8 +192,8 @@ def _surplus(
     if not bag:
         return changes.filter((F.col(more) > 0) & (F.col(less) == 0)).select(*columns)
     extra = F.col(more) - F.col(less)
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), extra))
-    return changes.filter(extra > 0).select(*columns, copies.alias("_copy")).drop("_copy")
+    copies = explode_range(changes.filter(extra > 0), "_copy", F.lit(1), extra)
+    return copies.select(*columns)
 
 
 def istream(
