@@ -8,6 +8,7 @@ from tidepane.functions.timegrid import from_micros, micros
 from tidepane.plans.catalog import query
 from tidepane.plans.inputs import MINUTE, OBS, OUT, SCALE, SUB, sql_sub, sql_windowed, table, with_sql
 from tidepane.plans.merge_queries import _OVER
+from tidepane.plans.window_queries import _PANES
 from tidepane.session import staging_path
 from tidepane.streaming import operators as ops
 from tidepane.streaming.io import drain, read_stream
@@ -83,6 +84,38 @@ def c13_merge(spark, sf_dir):
     return _plain_times(drain(out), "t_start", "t_end")
 
 
+def _register_merges() -> None:
+    """The same for the aggregates whose values are sums of doubles, rounded."""
+    weighted = "round(sum(value * (o_end - o_start)) / sum(o_end - o_start), 8)"
+    spread = "round(sum(value * (o_end - o_start) / w_us), 6)"
+    for agg, expression, digits in (("AVG", weighted, 8), ("SUM", spread, 6)):
+        sql = f"""SELECT topic, t_start, t_end, {expression} AS value FROM parts, mark
+WHERE t_end + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND <= w GROUP BY topic, t_start, t_end"""
+
+        def run(spark, sf_dir, agg=agg, digits=digits):
+            out = drain(ops.stream_approximate(_stream(spark, sf_dir), SUB, OUT, agg, DELAY))
+            return _plain_times(out, "t_start", "t_end").withColumn("value", F.round("value", digits))
+
+        query(f"c13_stream_merge_{agg.lower()}", with_sql(sql, OBS, sql_sub(agg), _OVER, _MARK))(run)
+
+
+_register_merges()
+
+
+@query(
+    "d2_stream_chunks",
+    with_sql(
+        """SELECT w_start, w_end, max("max") AS value, count(*) AS n_panes FROM pane_windows, mark
+WHERE w_end <= w GROUP BY w_start, w_end""",
+        OBS, _PANES, _MARK,
+    ),
+)
+def d2_stream(spark, sf_dir):
+    """Half-hour panes of all topics and the windows over them as one stream."""
+    out = ops.stream_chunks(_stream(spark, sf_dir), SUB[1], OUT, "MAX", DELAY)
+    return _plain_times(drain(out), "w_start", "w_end")
+
+
 @query(
     "e7_stream_latest",
     with_sql("SELECT topic, max(ts) AS ts, arg_max(value, ts) AS value FROM obs GROUP BY topic", OBS),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidepane.functions.aggregates import check_aggregate
+from tidepane.functions.aggregates import check_aggregate, final
 from tidepane.functions.timegrid import duration_us, interval, micros, start_offset_us
 from tidepane.operators.windows import sliding_agg
 
@@ -111,6 +111,30 @@ def stream_approximate(
     return stream_merge(results, width, *out, agg)
 
 
+def stream_chunks(obs: DataFrame, pane: str, out: tuple[str, str], agg: str, max_delay: str) -> DataFrame:
+    """Pane results and their unweighted combination over all topics in one stream: ``(w_start, w_end, value, n_panes)``.
+
+    ``pane`` divides width and slide. A pane is reported when the watermark has passed it, and a window when it has
+    passed its end, so the rows of closed windows are those of :func:`tidepane.operators.panes.chunk_combine`.
+    """
+    kind = check_aggregate(agg)
+    width_us, slide_us = (duration_us(d) for d in out)
+    if width_us % duration_us(pane) or slide_us % duration_us(pane):
+        raise ValueError("a pane must divide the width and the slide of the windows")
+    results = (
+        with_event_time(obs, max_delay)
+        .groupBy(F.window("ts", interval(duration_us(pane))).alias("window"), "topic")
+        .agg(final(kind, "value").alias("pane_value"))
+        .select(F.window_time("window").alias("late_end"), "pane_value")
+    )
+    grid = F.window("late_end", interval(width_us), interval(slide_us), interval(start_offset_us(width_us, slide_us)))
+    return (
+        results.groupBy(grid.alias("w"))
+        .agg(final(kind, "pane_value").alias("value"), F.count("pane_value").alias("n_panes"))
+        .select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "value", "n_panes")
+    )
+
+
 def stream_latest(obs: DataFrame, by: Sequence[str] = ("topic",), ts: str = "ts") -> DataFrame:
     """Newest value per topic so far; one row of state per topic. For update or complete mode."""
     return obs.groupBy(*by).agg(F.max(F.struct(ts, "value")).alias("_last")).select(
