@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,7 @@ def build_session(app: str = "tidepane", cores: str | int = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session (tests) may fall back to a temporary folder of its own.
+    Only a local session (tests) may fall back to a temporary folder of its own, which goes with the process.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
@@ -47,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="tidepane-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     sc.setCheckpointDir(fallback)
     return fallback
 
