@@ -95,7 +95,8 @@ def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     chunks = chunked(docs, text, id_col)
     places = chunks.select("__id", "__th", "start", "n_lines", _key().alias("hash"))
     within = Window.partitionBy("__id", "__th", "hash")  # the places of one chunk in one text
-    found = places.join(repeated(chunks), "hash").withColumn("earliest", F.min("start").over(within))
+    found = places.join(repeated(chunks), "hash").distinct()  # repeated rows have equal places
+    found = found.withColumn("earliest", F.min("start").over(within))
     gone = found.filter(~(F.col("__id").eqNullSafe(F.col("first")) & (F.col("start") == F.col("earliest"))))
     return gone.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "n_lines")).alias("spans"))
 
