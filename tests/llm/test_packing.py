@@ -1,5 +1,7 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +67,27 @@ def test_large_groups_reach_the_bound():
     assert len(set(bins.tolist())) <= 1 + packing.lower_bound(sorted(sizes.tolist(), reverse=True), 4096)
 
 
+def test_lengths_between_a_quarter_and_a_half():
+    """Best fit leaves its emptiest sequences alike here, so packing those anew gains nothing."""
+    sizes = np.random.default_rng(2).integers(1100, 1630, 20000)
+    falling = sorted(sizes.tolist(), reverse=True)
+    bins, offsets = packing.pack_sizes(sizes, 4096)
+    gapless(bins, offsets, sizes, 4096)
+    assert len(set(bins.tolist())) < 0.97 * len(packing.best_fit(falling, 4096))
+
+
+def test_fillings_are_all_there():
+    rng = random.Random(4)
+    for _ in range(100):
+        left, room = sorted(rng.choices(range(1, 15), k=9)), rng.randint(5, 40)
+        fits = {tuple(sorted(c)) for n in range(10) for c in itertools.combinations(left, n) if sum(c) <= room}
+        left_over = lambda c: list((Counter(left) - Counter(c)).elements())
+        whole = {c for c in fits if sum(c) + min(left_over(c), default=99) > room}
+        found = packing.fillings(left, room)
+        assert {tuple(sorted(f)) for f in found} == whole and len(found) == len(whole)
+        assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+
+
 def plain_pieces(texts, ids, capacity):
     library = Tokenizer.from_file(WORD)
     out = []

@@ -3,18 +3,21 @@
 Texts are encoded, closed with an end id and cut into pieces only where they exceed a sequence. Pieces are dealt into
 groups of about ``GROUP`` pieces of the table, and each group is packed in one task from the numbers of its pieces: a group
 loses less than one sequence against packing all at once. Inside a group best fit over the lengths, longest first,
-gives the first solution. If it needs more sequences than the lower bound, bin completion looks for a better one for the
-``TAIL`` emptiest sequences together (all of them in a small group), again and again while that saves one: depth
-first, it takes the longest piece left, lists the fillings around it that no other filling dominates, the fullest
-first, and drops a branch once its waste exceeds what a better solution may waste. A search ends at the bound or
-after ``NODES`` nodes and the best solution so far counts; no piece is ever left out.
+gives the first solution. If it needs more sequences than the lower bound, the first descent of bin completion runs over
+the whole group, and the better of both counts. Then bin completion looks for a better one for ``TAIL`` sequences
+together (all of them in a small group), the emptiest ones or these mixed with full ones: depth first, it takes the
+longest piece left, lists the fillings around it that leave no room for another piece, the fullest first, and drops a
+branch once its waste exceeds what a better solution may waste. A search ends at the bound or after ``NODES`` nodes
+and the best solution so far counts; no piece is ever left out.
 
 A null text is empty and makes a piece of the end id alone. Rows with equal ids, and null ids, are rows of their own.
 """
 
 from __future__ import annotations
 
+import random
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,6 +36,8 @@ NODES = 2_000
 #: Sequences that are packed anew together, and how often.
 TAIL = 64
 ROUNDS = 50
+#: Rounds in a row without a gain after which no more are tried; a limit of effort only.
+MISSES = 8
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -92,37 +97,102 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def fillings(left: list[int], room: int, width: int = 24) -> list[list[int]]:
-    """Undominated sets of up to three sizes of ``left`` (rising, with repeats) that fit ``room``, fullest first.
+def lazy_fillings(left: list[int], room: int) -> Iterator[list[int]]:
+    """Every set of ``left`` (rising, with repeats) that fits ``room`` and leaves no room for another piece, fullest first.
 
-    A single size is dominated by a larger one, two sizes by a single one that is at least their sum, three by two of
-    which one is at least the sum of two of them; only the best of each number of sizes with each largest one is kept.
+    Fillings that another one dominates are never fuller than it; all that are not dominated are among these. Sums that
+    the smaller sizes can reach are bit sets, so the search for the sets of one sum enters no dead end.
     """
-    top = bisect_right(left, room)
-    if not top:
-        return [[]]
-    single = left[top - 1]
-    found = {single: [single]}
-    if single < room:
-        last = None
-        for i in range(top - 1, -1, -1):
-            a = left[i]
-            if a == last:
-                continue
-            last = a
-            j = bisect_right(left, room - a, 0, i) - 1
-            if j < 0:
-                continue
-            b = left[j]
-            if a + b > single and a + b not in found:
-                found[a + b] = [a, b]
-            rest = room - a - b
-            k = bisect_right(left, rest, 0, j) - 1 if rest else -1
-            if k >= 0 and a + b + left[k] > single and a + b + left[k] not in found:
-                found[a + b + left[k]] = [a, b, left[k]]
-            if room in found or len(found) > 4 * width:
+    counts = Counter(left[: bisect_right(left, room)])
+    sizes = sorted(counts)
+    reach = [1]
+    for size in sizes:
+        sums, copies, step = reach[-1], min(counts[size], room // size), 1
+        while copies:
+            step = min(step, copies)
+            sums |= sums << (size * step)
+            copies -= step
+            step *= 2
+        reach.append(sums & ((1 << (room + 1)) - 1))
+
+    def sets(total: int, k: int) -> Iterator[list[int]]:
+        if not total:
+            yield []
+            return
+        size = sizes[k - 1]
+        for copies in range(min(counts[size], total // size), -1, -1):
+            rest = total - copies * size
+            if reach[k - 1] >> rest & 1:
+                for found in sets(rest, k - 1):
+                    yield [size] * copies + found
+
+    for total in range(reach[-1].bit_length() - 1, -1, -1):
+        if reach[-1] >> total & 1:
+            for found in sets(total, len(sizes)):
+                taken = Counter(found)
+                smallest = next((s for s in sizes if counts[s] > taken[s]), room + 1)
+                if total + smallest > room:
+                    yield found
+
+
+def fillings(left: list[int], room: int) -> list[list[int]]:
+    """All of :func:`lazy_fillings`."""
+    return list(lazy_fillings(left, room))
+
+
+def descend(sizes: list[int], capacity: int) -> list[list[int]]:
+    """The first descent of bin completion over a whole group: around the largest piece left the fullest filling.
+
+    Sizes are held as counts, and those left as a bit set. Up to three sizes are looked for at once, smaller ones fill the rest.
+    """
+    counts = Counter(sizes)
+    there = sum(1 << s for s in counts)
+    under = lambda room: (there & ((1 << (room + 1)) - 1)).bit_length() - 1  # noqa: E731  largest size that fits, or -1
+
+    def take(size: int) -> int:
+        nonlocal there
+        counts[size] -= 1
+        if not counts[size]:
+            there ^= 1 << size
+        return size
+
+    def put(size: int) -> None:
+        nonlocal there
+        counts[size] += 1
+        there |= 1 << size
+
+    bins = []
+    while there:
+        chosen = [take(there.bit_length() - 1)]
+        room = capacity - chosen[0]
+        best: list[int] = []
+        full = 0
+        a = under(room)
+        while a > 0 and full < room:
+            take(a)
+            second = under(room - a)
+            found = [a]
+            if second > 0:
+                found.append(take(second))
+                third = under(room - a - second)
+                if third > 0:
+                    found.append(third)
+                put(second)
+            put(a)
+            if sum(found) > full:
+                best, full = found, sum(found)
+            if 3 * a <= full:  # three sizes of at most a can't be fuller
                 break
-    return [found[s] for s in sorted(found, reverse=True)[:width]]
+            a = under(a - 1)
+        for size in best:
+            take(size)
+        chosen += best
+        room -= full
+        while (size := under(room)) > 0:
+            chosen.append(take(size))
+            room -= size
+        bins.append(chosen)
+    return bins
 
 
 def complete(sizes: list[int], capacity: int, incumbent: list[list[int]], nodes: int = NODES) -> list[list[int]]:
@@ -136,7 +206,7 @@ def complete(sizes: list[int], capacity: int, incumbent: list[list[int]], nodes:
     frames: list[tuple[Iterator[list[int]], list[int], int]] = []
 
     def choices() -> Iterator[list[int]]:
-        return iter(fillings(left[:-1], capacity - left[-1]))
+        return lazy_fillings(left[:-1], capacity - left[-1])
 
     current, taken, lost = choices(), [], 0
     while nodes and len(incumbent) > bound:
@@ -177,15 +247,24 @@ def complete(sizes: list[int], capacity: int, incumbent: list[list[int]], nodes:
 
 
 def improve(bins: list[list[int]], capacity: int, bound: int) -> list[list[int]]:
-    """Bin completion of the emptiest bins, while it saves one and there are more bins than ``bound``."""
+    """Bin completion of some bins at a time, while there are more bins than ``bound``.
+
+    First of the emptiest bins; where that saves none, of half as many of the emptiest with as many drawn from all
+    others, full ones among them. It ends after ``MISSES`` rounds in a row that save none.
+    """
+    rng = random.Random(len(bins))
+    misses = 0
     for _ in range(ROUNDS):
-        if len(bins) <= bound:
+        if len(bins) <= bound or misses == MISSES:
             break
         bins = sorted(bins, key=sum)
-        emptiest, rest = bins[:TAIL], bins[TAIL:]
-        packed = complete(sorted((s for b in emptiest for s in b), reverse=True), capacity, emptiest)
-        if len(packed) == len(emptiest):
-            break
+        if misses and len(bins) > TAIL:
+            half = bins[TAIL // 2 :]
+            rng.shuffle(half)
+            bins = bins[: TAIL // 2] + half
+        some, rest = bins[:TAIL], bins[TAIL:]
+        packed = complete(sorted((s for b in some for s in b), reverse=True), capacity, some)
+        misses = misses + 1 if len(packed) == len(some) else 0
         bins = packed + rest
     return bins
 
@@ -199,7 +278,10 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     bins = [[capacity]] * full
     if rest:
         solution = best_fit(rest, capacity)
-        bins = bins + improve(solution, capacity, lower_bound(rest, capacity))
+        bound = lower_bound(rest, capacity)
+        if len(solution) > bound:
+            solution = min(solution, descend(rest, capacity), key=len)
+        bins = bins + improve(solution, capacity, bound)
     # pieces of one length are alike: hand the places of a length out in order
     flat = np.array([s for b in bins for s in b], np.int64)
     counts = np.array([len(b) for b in bins], np.int64)
