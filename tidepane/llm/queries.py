@@ -12,6 +12,7 @@ from tidepane.llm import (
     bpe,
     line_dedup,
     packing,
+    piece_bpe,
     private_data,
     quality_model,
     quality_rules,
@@ -151,3 +152,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op11_piece_round_trip")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text under the merge-type model and the text decoded from them, as digests."""
+    both = piece_bpe.round_trip("text", f"{TOKENIZERS}/piece_bpe_32k.model").alias("both")
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", both).select(
+        "doc_id",
+        (F.octet_length("both.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("both.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
