@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepane.llm import (
     bpe,
+    conversation_repair,
     line_dedup,
     packing,
     piece_bpe,
@@ -164,3 +165,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("both.ids", 256).alias("ids_sha256"),
         F.sha2(F.col("both.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost and audit of the cheapest repair of every damaged conversation, and a digest of the repaired one."""
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.with_digests(rows, conversation_repair.audits(rows))
