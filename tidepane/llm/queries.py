@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepane.llm import (
     bpe,
     conversation_repair,
+    hard_negatives,
     line_dedup,
     packing,
     piece_bpe,
@@ -167,6 +168,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_hard_negatives", hard_negatives.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of other labels just below every anchor's positives."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = hard_negatives.whole_numbers(rows).withColumn("label", moved)
+    return hard_negatives.mine(whole, F.col("vec_id") % 100 == 0, vector="embedding")
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cost and audit of the cheapest repair of every damaged conversation, and a digest of the repaired one."""
