@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,25 @@ def test_token_counts_of_odd_texts(make_docs):
     assert rows[0].n == 0 and rows[4].n > 0
     with pytest.raises(ValueError):
         token_counts.Counter("vocabulary.txt")
+
+
+def test_ranks_count_like_the_library(small_texts):
+    """Every kind of character, special strings and long runs, by ranks and by the library."""
+    library = Tokenizer.from_file(BYTE)
+    counter = token_counts.load(BYTE)
+    assert token_counts.ranked(BYTE) is not None
+    points = [c for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}{chr(c)} x  {chr(c)}" for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    texts += [t or "" for t in ODD_TEXTS] + small_texts + [" " * 50_000 + "x", "a" * 50_000, "x<|endoftext|><|endof" * 9]
+    assert counter.count(texts).tolist() == [len(library.encode(t).ids) for t in texts]
+    assert token_counts.Counter(BYTE, by_ranks=False).count(texts[:99]).tolist() == counter.count(texts[:99]).tolist()
+
+
+def test_other_vocabularies_are_left_to_the_library(tmp_path):
+    assert token_counts.ranked(WORD) is None
+    spec = json.loads(open(BYTE, encoding="utf-8").read())
+    merges = spec["model"]["merges"]
+    merges[300], merges[301] = merges[301], merges[300]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    assert token_counts.ranked(str(path)) is None
