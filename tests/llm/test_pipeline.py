@@ -6,8 +6,8 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import ODD_TEXTS
-from tests.llm.test_near_copies import plain_components, plain_fingerprint
 from tests.llm.test_packing import check
+from tests.llm.test_shingle_join import plain_kept
 from tests.llm.test_spans import plain_private
 from tidepane.llm import line_dedup
 
@@ -79,8 +79,7 @@ def test_lines(kept):
 
 def test_near_copies(kept):
     rows = sorted(texts(kept[2]).items())
-    first = plain_components([plain_fingerprint(t) for _, t in rows])
-    assert texts(kept[3]) == {rows[k][0]: rows[k][1] for k in set(first)}
+    assert texts(kept[3]) == {rows[k][0]: rows[k][1] for k in plain_kept([t for _, t in rows])}
 
 
 def test_personal_data_goes(kept):
