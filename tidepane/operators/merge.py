@@ -88,24 +88,29 @@ def merge_windows(win: DataFrame, width: str | int, slide: str | int, agg: str)
     * COUNT: a value counts once for each elementary interval (between neighbouring window
       borders inside the target) that its window covers.
     """
-    kind = check_aggregate(agg)
     joined = overlap_join(win, width, slide)
-    if kind == "COUNT":
-        return _merge_counts(joined)
+    if check_aggregate(agg) == "COUNT":
+        return merge_counts(joined)
+    return joined.groupBy(*_TARGET).agg(merged_value(agg).alias("value"))
+
+
+def merged_value(agg: str) -> Column:
+    """Merge of the windows of a target, all aggregates but COUNT, from ``value, o_start, o_end, w_us``."""
+    kind = check_aggregate(agg)
     overlap = F.col("o_end") - F.col("o_start")
     if kind in ("MIN", "MAX"):
-        value = {"MIN": F.min, "MAX": F.max}[kind]("value")
-    elif kind == "AVG":
+        return {"MIN": F.min, "MAX": F.max}[kind]("value")
+    if kind == "AVG":
         weight = F.when(F.col("value").isNotNull(), overlap)  # a window without a value has no weight
-        value = F.coalesce(F.try_divide(F.sum(F.col("value") * overlap), F.sum(weight)), F.lit(0.0))
-    else:
+        return F.coalesce(F.try_divide(F.sum(F.col("value") * overlap), F.sum(weight)), F.lit(0.0))
+    if kind == "SUM":
         share = F.when(F.col("w_us") > 0, F.col("value") * overlap / F.col("w_us"))
-        value = F.coalesce(F.sum(share), F.lit(0.0))
-    return joined.groupBy(*_TARGET).agg(value.alias("value"))
+        return F.coalesce(F.sum(share), F.lit(0.0))
+    raise ValueError("the COUNT merge needs the borders of a target, see merge_counts")
 
 
-def _merge_counts(joined: DataFrame) -> DataFrame:
-    """COUNT merge without collecting the borders of a target.
+def merge_counts(joined: DataFrame) -> DataFrame:
+    """COUNT merge of windows met with targets, without collecting the borders of a target.
 
     A window covers ``rank(end) - rank(start)`` elementary intervals, ranks being those of the
     distinct borders. So each window adds its value at its end and takes it off at its start;
@@ -201,12 +206,9 @@ def asof_latest(
         .agg(F.max(F.struct(ts, "value")).alias("_last"))
         .select("topic", "_k", F.col("_last.value").alias("latest"), F.col(f"_last.{ts}").alias("latest_ts"))
     )
-    following = neighbour_in(
-        to_blocks(cut_lineage(per_slide), ["topic"], ["_k"], max_group_rows), {"_next": "_k"}, step=1
-    )
-    until_next = F.coalesce(F.col("_next") - 1, F.lit(last_k))
-    end = F.col("_t") * slide_us
-    return explode_range(following, "_t", F.col("_k"), until_next).select(
+    filled = fill_slides(cut_lineage(per_slide), last_k, max_group_rows)
+    end = F.col("_k") * slide_us
+    return filled.select(
         "topic",
         from_micros(end - width_us, dtype).alias("t_start"),
         from_micros(end, dtype).alias("t_end"),
@@ -215,46 +217,117 @@ def asof_latest(
     )
 
 
+def fill_slides(per_slide: DataFrame, last_k: int, max_group_rows: int | None = None) -> DataFrame:
+    """Saved rows ``topic, _k, …`` of some slides, repeated for the slides up to the topic's next one or ``last_k``."""
+    following = neighbour_in(to_blocks(per_slide, ["topic"], ["_k"], max_group_rows), {"_next": "_k"}, step=1)
+    until_next = F.coalesce(F.col("_next") - 1, F.lit(last_k))
+    filled = explode_range(following, "_t", F.col("_k"), until_next)
+    return filled.withColumn("_k", F.col("_t")).drop("_t", "_next")
+
+
 def expire_windows(win: DataFrame, target_start: Column | str, strict: bool = False) -> DataFrame:
     """Drop windows that ended before the target starts; ``strict`` drops those that end there."""
     start = F.col(target_start) if isinstance(target_start, str) else target_start
     return win.filter(F.col("w_end") > start if strict else F.col("w_end") >= start)
 
 
+def topic_targets(
+    win: DataFrame, width: str | int, slide: str | int, agg: str, max_group_rows: int | None = None
+) -> DataFrame:
+    """What is known of every topic at every target: ``(topic, t_start, t_end, merged, buffered, latest)``.
+
+    ``merged`` is the merge of the windows overlapping the target, ``buffered`` the newest of these, ``latest`` the
+    newest value that arrived up to the target's end, however old; a window arrives at its end, and has a positive
+    width. Windows meet the targets once and are grouped once. A target's newest arrival is among its own windows, so
+    only the targets without one are filled from those before. A row may hold some of the three values only (the
+    others null), but every value is in one row, so rows can be counted and combined as they are.
+    """
+    width_us, slide_us = duration_us(width), duration_us(slide)
+    if width_us < slide_us:
+        raise ValueError("targets must not leave gaps between them")
+    joined = overlap_join(win, width, slide)
+    return targets_of(target_parts(joined, agg, slide_us), width_us, slide_us, time_type(win, "w_start"), max_group_rows)
+
+
+def target_parts(joined: DataFrame, agg: str, slide_us: int) -> DataFrame:
+    """``(topic, _k, merged, buffered, newest)`` of windows met with targets; ``_k`` numbers the target ends."""
+    arrived = F.struct("w_end", "value")
+    known = [F.max(arrived)["value"].alias("buffered"), F.max(F.when(F.col("w_end") <= F.col("t_end"), arrived)).alias("newest")]
+    end_k = F.floor(micros("t_end") / slide_us).alias("_k")
+    if check_aggregate(agg) != "COUNT":
+        return joined.groupBy("topic", "t_end").agg(merged_value(agg).alias("merged"), *known).withColumn("_k", end_k).drop("t_end")
+    counted = merge_counts(joined).select("topic", end_k, F.col("value").alias("merged"))
+    others = joined.groupBy("topic", "t_end").agg(*known).withColumn("_k", end_k).drop("t_end")
+    return counted.unionByName(others, allowMissingColumns=True)
+
+
+def targets_of(
+    parts: DataFrame, width_us: int, slide_us: int, dtype: str, max_group_rows: int | None = None,
+    known: DataFrame | None = None, after_k: int | None = None, last_k: int | None = None,
+) -> DataFrame:
+    """:func:`topic_targets` from the parts of their targets.
+
+    ``known`` are ``topic, newest`` as of the target ``after_k``, the last one that is done already; filling ends at
+    ``last_k``, by default the target of the newest arrival.
+    """
+    saved = cut_lineage(parts)
+    newest = saved.filter(F.col("newest").isNotNull()).select("topic", "_k", "newest")
+    if last_k is None:
+        last_us = newest.agg(F.max(micros("newest.w_end"))).first()[0]
+        last_k = -(-(last_us or 0) // slide_us)
+        newest = newest.filter(F.col("_k") <= last_k)
+    if known is not None:
+        newest = cut_lineage(newest.unionByName(known.select("topic", F.lit(after_k).cast("bigint").alias("_k"), "newest")))
+    filled = fill_slides(newest, last_k, max_group_rows)
+    if after_k is not None:
+        filled = filled.filter(F.col("_k") > after_k)
+    latest = filled.select("topic", "_k", F.col("newest.value").alias("latest"), F.col("newest.w_end").alias("latest_ts"))
+    rows = saved.select("topic", "_k", "merged", "buffered").unionByName(latest, allowMissingColumns=True)
+    end = F.col("_k") * slide_us
+    return rows.select(
+        "topic", from_micros(end - width_us, dtype).alias("t_start"), from_micros(end, dtype).alias("t_end"),
+        "merged", "buffered", "latest", "latest_ts",
+    )
+
+
 def unify(per_topic: DataFrame, latest: DataFrame, agg: str) -> DataFrame:
+    """One value over all topics per target, from merged values and latest ones, see :func:`unified`."""
+    merged = per_topic.select(*_TARGET, F.col("value").alias("merged"))
+    return unified(merged.unionByName(latest.select(*_TARGET, "latest"), allowMissingColumns=True), agg)
+
+
+def unified(rows: DataFrame, agg: str) -> DataFrame:
     """One value over all topics per target: ``(t_start, t_end, value, n_topics, used_latest)``.
 
     ``n_latest`` and ``n_merged`` count the topics with a latest and with a merged value.
     With two or more topics that ever sent a result, their latest raw values are used; the merged
     per-topic values count only when fewer are known. COUNT is the number of topics.
     """
-    kind = check_aggregate(agg)
-    merged = per_topic.select(*_TARGET, F.col("value").alias("merged"))
-    both = merged.join(latest.select(*_TARGET, "latest"), _TARGET, "full")
-    combine = {"AVG": F.avg, "SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}[kind]
-    many = F.col("n_latest") >= 2
-    return (
-        both.groupBy("t_start", "t_end")
-        .agg(
-            F.count("latest").alias("n_latest"),
-            F.count("merged").alias("n_merged"),
-            combine("latest").cast("double").alias("of_latest"),
-            combine("merged").cast("double").alias("of_merged"),
-        )
-        .select(
-            "t_start",
-            "t_end",
-            F.coalesce(
-                F.when(many, F.col("of_latest")).otherwise(F.col("of_merged")), F.lit(0.0)
-            ).alias("value"),
-            F.when(many, F.col("n_latest")).otherwise(F.col("n_merged")).alias("n_topics"),
-            many.alias("used_latest"),
-            "n_latest",
-            "n_merged",
-        )
+    return rows.groupBy("t_start", "t_end").agg(*_over_topics(agg)).select(
+        "t_start", "t_end", *_unified_columns(), "n_latest", "n_merged"
     )
 
 
+def _over_topics(agg: str) -> list[Column]:
+    combine = {"AVG": F.avg, "SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}[check_aggregate(agg)]
+    return [
+        F.count("latest").alias("n_latest"),
+        F.count("merged").alias("n_merged"),
+        combine("latest").cast("double").alias("of_latest"),
+        combine("merged").cast("double").alias("of_merged"),
+    ]
+
+
+def _unified_columns() -> list[Column]:
+    many = F.col("n_latest") >= 2
+    value = F.coalesce(F.when(many, F.col("of_latest")).otherwise(F.col("of_merged")), F.lit(0.0))
+    return [
+        value.alias("value"),
+        F.when(many, F.col("n_latest")).otherwise(F.col("n_merged")).alias("n_topics"),
+        many.alias("used_latest"),
+    ]
+
+
 def buffered_latest(win: DataFrame, width: str | int, slide: str | int) -> DataFrame:
     """Newest value per topic among the windows still overlapping a target."""
     newest = F.max_by("value", F.struct("w_end", "value")).alias("buffered")
@@ -262,18 +335,24 @@ def buffered_latest(win: DataFrame, width: str | int, slide: str | int) -> DataF
 
 
 def individual_results(per_topic: DataFrame, buffered: DataFrame, latest: DataFrame) -> DataFrame:
+    """The value of each topic and target, from the three sources, see :func:`individual`."""
+    rows = (
+        per_topic.select(*_TARGET, F.col("value").alias("merged"))
+        .unionByName(buffered.select(*_TARGET, "buffered"), allowMissingColumns=True)
+        .unionByName(latest.select(*_TARGET, "latest"), allowMissingColumns=True)
+    )
+    return individual(rows)
+
+
+def individual(rows: DataFrame) -> DataFrame:
     """Per topic and target: merged value, else newest in the buffer, else newest ever.
 
     A value of 0 counts as missing and gives way to the next source; it stays 0 if all are 0.
     """
-    rows = (
-        per_topic.select(*_TARGET, F.col("value").alias("merged"))
-        .join(buffered.select(*_TARGET, "buffered"), _TARGET, "full")
-        .join(latest.select(*_TARGET, "latest"), _TARGET, "full")
-    )
-    present = [F.when(F.col(c) != 0, F.col(c)) for c in ("merged", "buffered", "latest")]
-    any_value = F.coalesce("merged", "buffered", "latest")
-    return rows.select(*_TARGET, F.coalesce(*present, any_value).alias("value"))
+    sources = ("merged", "buffered", "latest")
+    one = rows.groupBy(*_TARGET).agg(*[F.max(c).alias(c) for c in sources])
+    present = [F.when(F.col(c) != 0, F.col(c)) for c in sources]
+    return one.select(*_TARGET, F.coalesce(*present, *sources).alias("value"))
 
 
 def target_coverage(
@@ -315,16 +394,31 @@ def result_record(
     Only per-topic values are collected: one entry per topic and target. ``style="naive"`` uses
     the field names of the naive operator.
     """
+    entries = individual.groupBy("t_start").agg(
+        F.sort_array(F.collect_list(F.struct("topic", "value"))).alias("_entries"),
+    )
+    return _as_record(unified.join(entries, "t_start", "left"), agg, expected_topics, style)
+
+
+def records(rows: DataFrame, agg: str, expected_topics: int, style: str = "rate") -> DataFrame:
+    """:func:`result_record` of the rows of :func:`topic_targets`: one grouping by topic and target, one by target."""
+    sources = ("merged", "buffered", "latest")
+    one = rows.groupBy(*_TARGET).agg(*[F.max(c).alias(c) for c in sources])
+    present = [F.when(F.col(c) != 0, F.col(c)) for c in sources]
+    entry = F.struct("topic", F.coalesce(*present, *sources).alias("value"))
+    entries = F.sort_array(F.collect_list(entry)).alias("_entries")
+    per_target = one.groupBy("t_start", "t_end").agg(*_over_topics(agg), entries)
+    unified = per_target.select("t_start", "t_end", *_unified_columns(), "n_latest", "n_merged", "_entries")
+    return _as_record(unified, agg, expected_topics, style)
+
+
+def _as_record(joined: DataFrame, agg: str, expected_topics: int, style: str) -> DataFrame:
     kind = check_aggregate(agg)
     window_name, topics_name, available = (
         ("window", "individualTopics", "availableTopics")
         if style == "rate"
         else ("windows", "individualResults", "allAvailableTopics")
     )
-    entries = individual.groupBy("t_start").agg(
-        F.sort_array(F.collect_list(F.struct("topic", "value"))).alias("_entries"),
-    )
-    joined = unified.join(entries, "t_start", "left")
     names = F.transform("_entries", lambda e: e.topic)
     record = F.struct(
         (micros("t_end") / 1000).cast("bigint").alias("timestamp"),

@@ -277,10 +277,6 @@ def e8_strict(spark, sf_dir):
 _ARRIVED = "arrived AS (SELECT topic, w_end AS ts, value FROM sub)"
 
 
-def _latest(win):
-    return merge.asof_latest(win.select("topic", F.col("w_end").alias("ts"), "value"), *OUT)
-
-
 def _unify_sql(agg: str, sub: str, merged: str, combine: str) -> str:
     return with_sql(
         f"""SELECT t_start, t_end, coalesce(CASE WHEN n_latest >= 2 THEN round(of_latest, 8) ELSE round(of_merged, 8) END, 0.0) AS value,
@@ -294,9 +290,8 @@ FROM (SELECT t_start, t_end, count(latest) AS n_latest, count(merged) AS n_merge
 
 
 def _unify(spark, sf_dir, agg):
-    win = published(sub_results(spark, sf_dir, agg))
-    unified = merge.unify(merge.merge_windows(win, *OUT, agg), _latest(win), agg)
-    return _rounded(unified).drop("n_latest", "n_merged")
+    rows = merge.topic_targets(sub_results(spark, sf_dir, agg), *OUT, agg)
+    return _rounded(merge.unified(rows, agg)).drop("n_latest", "n_merged")
 
 
 @query("e9_unify_avg", _unify_sql("AVG", "AVG", _WEIGHTED, "avg({})"))
@@ -314,6 +309,18 @@ def e9_min(spark, sf_dir):
     return _unify(spark, sf_dir, "MIN")
 
 
+@query(
+    "e9_unify_count",
+    _unify_sql("COUNT", "COUNT", "CAST(sum(value * k) AS DOUBLE)", "count({})").replace(
+        "merged AS (SELECT topic, t_start, t_end, CAST(sum(value * k) AS DOUBLE) AS merged FROM parts",
+        _COVER + ",\nmerged AS (SELECT topic, t_start, t_end, CAST(sum(value * k) AS DOUBLE) AS merged FROM covered",
+    ),
+)
+def e9_count(spark, sf_dir):
+    """The number of topics, whose merged values are COUNT merges."""
+    return _unify(spark, sf_dir, "COUNT")
+
+
 @query("e9_unify_sum", _unify_sql("SUM", "SUM", _SPREAD, "sum({})"))
 def e9_sum(spark, sf_dir):
     return _unify(spark, sf_dir, "SUM")
@@ -331,11 +338,7 @@ FROM asof_rows FULL JOIN merged USING (topic, t_start, t_end)""",
     ),
 )
 def e10(spark, sf_dir):
-    win = published(sub_results(spark, sf_dir))
-    merged = merge.merge_windows(win, *OUT, "AVG")
-    return _rounded(
-        merge.individual_results(merged, merge.buffered_latest(win, *OUT), _latest(win))
-    )
+    return _rounded(merge.individual(merge.topic_targets(sub_results(spark, sf_dir), *OUT, "AVG")))
 
 
 @query(
@@ -372,11 +375,12 @@ FROM (
 )
 def e12(spark, sf_dir):
     """Every field of the nested record, read back out of its JSON text."""
-    win = published(sub_results(spark, sf_dir, "MAX"))
-    merged, latest = merge.merge_windows(win, *OUT, "MAX"), _latest(win)
-    individual = merge.individual_results(merged, merge.buffered_latest(win, *OUT), latest)
-    record = merge.result_record(merge.unify(merged, latest, "MAX"), individual, "MAX", len(TOPICS))
+    rows = merge.topic_targets(sub_results(spark, sf_dir, "MAX"), *OUT, "MAX")
+    return read_record(merge.records(rows, "MAX", len(TOPICS)))
+
 
+def read_record(record):
+    """The fields of the JSON text as columns."""
     def read(path: str, kind: str):
         return F.get_json_object("json", f"$.{path}").cast(kind)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepane.functions.timegrid import from_micros, micros
-from tidepane.plans.catalog import query
+from tidepane.plans.catalog import ORACLES, query
 from tidepane.plans.inputs import MINUTE, OBS, OUT, SCALE, SUB, sql_sub, sql_windowed, table, with_sql
-from tidepane.plans.merge_queries import _OVER
+from tidepane.plans.merge_queries import _IRREGULAR, _OVER, TOPICS, read_record
 from tidepane.plans.window_queries import _PANES
 from tidepane.session import staging_path
+from tidepane.streaming import live
 from tidepane.streaming import operators as ops
 from tidepane.streaming.io import drain, read_stream
 
@@ -102,6 +103,62 @@ WHERE t_end + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND <= w GROUP BY topic, t_st
 _register_merges()
 
 
+# Targets that the end of the data has closed: no result window that overlaps them can come any more.
+_CLOSED = "t_end + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND <= (SELECT w FROM mark)"
+
+
+def _closed_rows(name: str) -> str:
+    """The SQL of a batch query, for the closed targets only."""
+    body = ORACLES[name]
+    return f"WITH {_MARK.replace('FROM obs', 'FROM (SELECT epoch_us(ts) AS us FROM events)')} SELECT * FROM ({body}) WHERE {_CLOSED}"
+
+
+def _live(spark, sf_dir, agg, finish):
+    windows = live.sub_query_windows(_stream(spark, sf_dir), SUB, agg, DELAY, scale=SCALE)
+    return _plain_times(live.drain_live(windows, SUB[0], *OUT, agg, finish), "t_start", "t_end")
+
+
+@query("c13_stream_merge_count", _closed_rows("e4c_merge_count"))
+def c13_merge_count(spark, sf_dir):
+    """The COUNT merge, whose targets are ranked as they close."""
+    return _live(spark, sf_dir, "COUNT", live.merged)
+
+
+@query("e9_stream_unify", _closed_rows("e9_unify_avg"))
+def e9_stream(spark, sf_dir):
+    """From raw rows to one value over all topics in one stream."""
+    out = _live(spark, sf_dir, "AVG", live.unified("AVG"))
+    return out.withColumn("value", F.round("value", 8)).drop("n_latest", "n_merged")
+
+
+@query("e9_stream_unify_count", _closed_rows("e9_unify_count"))
+def e9_stream_count(spark, sf_dir):
+    out = _live(spark, sf_dir, "COUNT", live.unified("COUNT"))
+    return out.withColumn("value", F.round("value", 8)).drop("n_latest", "n_merged")
+
+
+@query("e12_stream_record", _closed_rows("e12_result_record"))
+def e12_stream(spark, sf_dir):
+    """From raw rows to the nested record of every target in one stream."""
+    return read_record(_live(spark, sf_dir, "MAX", live.records("MAX", len(TOPICS))))
+
+
+@query(
+    "e1_stream_messages",
+    with_sql(
+        f"""SELECT topic, t_start, t_end, round(sum(value * (o_end - o_start)) / sum(o_end - o_start), 8) AS value
+FROM parts WHERE {_CLOSED} GROUP BY topic, t_start, t_end""",
+        OBS, _IRREGULAR, _OVER, _MARK.replace("max(us) // 1000", "(max(us) - 1) // 1000"),
+    ),
+)
+def e1_stream(spark, sf_dir):
+    """Result messages at any time, turned into windows and merged in one stream."""
+    params = {t: ("1 hour" if t != "view" else "30 minutes", "AVG") for t in TOPICS}
+    windows = live.message_windows(_stream(spark, sf_dir).select("topic", "ts", "value"), params, DELAY)
+    out = live.drain_live(windows, "1 hour", *OUT, "AVG", live.merged)
+    return _plain_times(out, "t_start", "t_end").withColumn("value", F.round("value", 8))
+
+
 @query(
     "d2_stream_chunks",
     with_sql(

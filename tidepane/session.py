@@ -79,7 +79,21 @@ def save_round(df: DataFrame, folder: str, number: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the tables ``folder/batch=<number>`` that are written to the end, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = [s.getPath() for s in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in done)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_round(spark: SparkSession, folder: str, number: int) -> None:
     """Removes what :func:`save_round` wrote for a round that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/round-{number}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, f"{folder}/round-{number}")
