@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import at, seconds
 from tidepane.operators import merge, windows
+from tidepane.session import versions
 from tidepane.streaming import live
 from tidepane.streaming.io import read_stream
 
@@ -21,6 +22,14 @@ def events(seed=2, until=900):
     return sorted((x for x in rows if not 400 <= x[1] < 560), key=lambda x: x[1])
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 @pytest.fixture()
 def feed(spark, make_obs, tmp_path):
     """A folder that streams its files one by one; more can be added later."""
@@ -66,7 +75,7 @@ def same(got, want):
 @pytest.mark.parametrize("agg", ["AVG", "COUNT", "MAX", "SUM"])
 def test_closed_targets_equal_batch(feed, make_obs, agg):
     data = events()
-    feed.add(*cut(data, 5), [("z", 2000, 1)])
+    feed.add(*cut(data, 3), [("z", 2000, 1)])
     sub = live.sub_query_windows(feed.stream(), SUB, agg, "5 seconds")
     rows = batch_targets(make_obs, data, agg)
     got = live.drain_live(sub, SUB[0], *OUT, agg, live.merged)
@@ -79,7 +88,7 @@ def test_unified_equals_batch_through_a_silence(feed, make_obs, agg):
     """Topics that fell silent keep their latest value, also where no topic sends anything. (In batch the latest values
     end with the newest result, in the stream with the last target that closed.)"""
     data = events()
-    feed.add(*cut(data, 6), [("z", 2000, 1)])
+    feed.add(*cut(data, 3), [("z", 2000, 1)])
     sub = live.sub_query_windows(feed.stream(), SUB, agg, "5 seconds")
     got = live.drain_live(sub, SUB[0], *OUT, agg, live.unified(agg)).filter(F.col("t_end") <= F.lit(at(920)))
     want = merge.unified(batch_targets(make_obs, data, agg), agg).filter(F.col("t_end") <= F.lit(at(920)))
@@ -89,7 +98,7 @@ def test_unified_equals_batch_through_a_silence(feed, make_obs, agg):
 
 def test_records_equal_batch(feed, make_obs):
     data = events()
-    feed.add(*cut(data, 4), [("z", 2000, 1)])
+    feed.add(*cut(data, 2), [("z", 2000, 1)])
     sub = live.sub_query_windows(feed.stream(), SUB, "MAX", "5 seconds")
     got = live.drain_live(sub, SUB[0], *OUT, "MAX", live.records("MAX", 3)).filter(F.col("t_end") <= F.lit(at(920)))
     want = merge.records(batch_targets(make_obs, data, "MAX"), "MAX", 3).filter(F.col("t_end") <= F.lit(at(920)))
@@ -100,7 +109,7 @@ def test_records_equal_batch(feed, make_obs):
 def test_messages_of_topics_with_their_own_widths(feed, make_obs):
     data = events(3)
     params = {"a": ("20 seconds", "AVG"), "b": ("7 seconds", "AVG")}
-    feed.add(*cut(data, 4), [("a", 2000, 1)])
+    feed.add(*cut(data, 2), [("a", 2000, 1)])
     incoming = live.message_windows(feed.stream().select("topic", "ts", "value"), params, "5 seconds")
     got = live.drain_live(incoming, "20 seconds", *OUT, "COUNT", live.merged)
     win = merge.to_result_windows(make_obs(data), params)
@@ -144,7 +153,7 @@ def test_a_micro_batch_run_again_changes_nothing(spark, tmp_path):
     # 11 had no rows at all, 12 only one topic: both topics' latest values stand
     assert [once[k][1:3] for k in sorted(once)] == [(2, True)] * 3
     target(closed(13, "bb"), 5)
-    assert {n for n in live.versions(spark, f"{target.folder}/known")} == {4, 5}
+    assert {n for n in versions(spark, f"{target.folder}/known")} == {4, 5}
     target(spark.createDataFrame([], kind), 6)
     assert len(by_target(target.results(spark))) == 4
 

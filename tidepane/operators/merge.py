@@ -466,19 +466,23 @@ def adaptive_timeout(
     numbered = ordinal_in(blocks, "n")
     firsts = results.groupBy(*by).agg(F.min(ts).alias("_first"))
     rows = attach(numbered, firsts, by)
-    gaps = F.col("n") - 1
-    mean = F.try_divide((micros(ts) - micros("_first")) / F.lit(1000), gaps)
-    usable = (F.col("n") >= min_samples) & (F.col("mean_interval_ms") > 0)
-    return (
-        rows.withColumn("mean_interval_ms", mean)
-        .withColumn(
-            "timeout_ms",
-            F.when(
-                usable, F.least(F.col("mean_interval_ms") * multiplier, F.lit(float(max_ms)))
-            ).otherwise(F.lit(float(fallback_ms))),
-        )
-        .drop("_first")
-    )
+    first, last = micros("_first"), micros(ts)
+    limit = adaptive_limit(first, last, F.col("n"), min_samples, multiplier, fallback_ms, max_ms)
+    return rows.withColumns({"mean_interval_ms": _mean_interval(first, last, F.col("n")), "timeout_ms": limit}).drop("_first")
+
+
+def _mean_interval(first: Column, last: Column, n: Column) -> Column:
+    return F.try_divide((last - first) / F.lit(1000), n - 1)
+
+
+def adaptive_limit(
+    first: Column, last: Column, n: Column,
+    min_samples: int = 3, multiplier: float = 0.5, fallback_ms: float = 5000, max_ms: float = 15000,
+) -> Column:
+    """Silence in ms that counts as inactivity after ``n`` results between two times in microseconds."""
+    mean = _mean_interval(first, last, n)
+    usable = (n >= min_samples) & (mean > 0)
+    return F.when(usable, F.least(mean * multiplier, F.lit(float(max_ms)))).otherwise(F.lit(float(fallback_ms)))
 
 
 def flag_gaps(

@@ -10,7 +10,7 @@ from tidepane.plans.inputs import MINUTE, OBS, OUT, SCALE, SUB, sql_sub, sql_win
 from tidepane.plans.merge_queries import _IRREGULAR, _OVER, TOPICS, read_record
 from tidepane.plans.window_queries import _PANES
 from tidepane.session import staging_path
-from tidepane.streaming import live
+from tidepane.streaming import live, tables
 from tidepane.streaming import operators as ops
 from tidepane.streaming.io import drain, read_stream
 
@@ -113,6 +113,11 @@ def _closed_rows(name: str) -> str:
     return f"WITH {_MARK.replace('FROM obs', 'FROM (SELECT epoch_us(ts) AS us FROM events)')} SELECT * FROM ({body}) WHERE {_CLOSED}"
 
 
+def _closed_windows(name: str, closed: str = "w_start + INTERVAL 1 HOUR <= (SELECT w FROM mark)") -> str:
+    """The SQL of a batch query, for the closed windows only."""
+    return f"WITH {_MARK.replace('FROM obs', 'FROM (SELECT epoch_us(ts) AS us FROM events)')} SELECT * FROM ({ORACLES[name]}) WHERE {closed}"
+
+
 def _live(spark, sf_dir, agg, finish):
     windows = live.sub_query_windows(_stream(spark, sf_dir), SUB, agg, DELAY, scale=SCALE)
     return _plain_times(live.drain_live(windows, SUB[0], *OUT, agg, finish), "t_start", "t_end")
@@ -208,5 +213,42 @@ def e14_stream(spark, sf_dir):
     folder = staging_path(spark, "results")
     published.write.parquet(folder)
     incoming = read_stream(spark, folder, published.schema)
-    out = ops.stream_gaps(incoming, DELAY, fallback_ms=3_600_000, max_ms=5_400_000, multiplier=1.5)
-    return _plain_times(drain(out), "silent_since", "resumed_at")
+    out = tables.stream_gaps(incoming, DELAY, fallback_ms=3_600_000, max_ms=5_400_000, multiplier=1.5)
+    return _plain_times(out.drop("batch"), "silent_since", "resumed_at")
+
+
+@query("c8_stream_istream", _closed_windows("c8_istream"))
+def c8_istream(spark, sf_dir):
+    """Devices new in each window as it closes."""
+    out = ops.stream_istream(_stream(spark, sf_dir), *SUB, ["topic", "device"], DELAY)
+    return _plain_times(drain(out), "w_start")
+
+
+@query("c8_stream_dstream", _closed_windows("c8_dstream"))
+def c8_dstream(spark, sf_dir):
+    """Devices gone from each window as it closes."""
+    out = ops.stream_dstream(_stream(spark, sf_dir), *SUB, ["topic", "device"], DELAY)
+    return _plain_times(drain(out), "w_start")
+
+
+@query("c8_stream_istream_bag", _closed_windows("c8_istream_bag"))
+def c8_bag(spark, sf_dir):
+    out = ops.stream_istream(_stream(spark, sf_dir), *SUB, ["topic", "device"], DELAY, bag=True)
+    return _plain_times(drain(out), "w_start")
+
+
+@query("d5_stream_exact", _closed_windows("d5_exact_answer", "w_end <= (SELECT w FROM mark)"))
+def d5_stream(spark, sf_dir):
+    """Exact windows per topic and over all topics as one stream."""
+    out = ops.stream_exact(_stream(spark, sf_dir), *OUT, "AVG", DELAY, scale=SCALE)
+    return _plain_times(drain(out), "w_start", "w_end")
+
+
+@query("f3_stream_signature_live", ORACLES["f3_stream_signature"])
+def f3_live(spark, sf_dir):
+    """Signatures kept up to date by a stream; the last one of each topic."""
+    out = tables.stream_profile(_stream(spark, sf_dir).select("topic", "subject", "ts", "value"))
+    fields = ["triple_count", "variance", "entropy", "skewness", "fft_entropy"]
+    last = out.groupBy("topic").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("topic", "s.*")
+    digits = {"variance": 6, "entropy": 9, "skewness": 6, "fft_entropy": 6}
+    return last.withColumns({c: F.round(c, d) for c, d in digits.items()})

@@ -6,9 +6,8 @@ in the same micro-batch. So a micro-batch holds whole targets, and what needs a
 merge in order, the values of all topics) is done there by the same DataFrame operators as in batch, however many
 topics or borders it has.
 
-What outlives a target is one row per topic, its newest value. It is written as a table of its own for every
-micro-batch, as are the results; a micro-batch reads the table of the one before it. A micro-batch that is run again
-after a failure reads the same table and overwrites its own two, so every target is answered once.
+What outlives a target is one row per topic, its newest value: a table for every micro-batch, see
+:mod:`tidepane.streaming.tables`. A micro-batch that is run again answers the same targets from the same table.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -24,8 +23,9 @@ from pyspark.sql.types import StructType
 from tidepane.functions.aggregates import check_aggregate, final
 from tidepane.functions.timegrid import duration_us, interval, micros, start_offset_us
 from tidepane.operators import merge
-from tidepane.session import drop_folder, staging_path, versions
+from tidepane.session import drop_folder, staging_path
 from tidepane.streaming.operators import with_event_time
+from tidepane.streaming.tables import TableState
 
 Params = Mapping[str, tuple[str | int, str]]
 
@@ -122,52 +122,29 @@ def records(agg: str, expected_topics: int, style: str = "rate") -> Finish:
     return partial(merge.records, agg=agg, expected_topics=expected_topics, style=style)
 
 
-class LiveTargets:
-    """Answers the targets that closed in each micro-batch; ``folder`` is on storage all executors share."""
+class LiveTargets(TableState):
+    """Answers the targets that closed in each micro-batch."""
 
     def __init__(self, folder: str, width: str | int, slide: str | int, agg: str, finish: Finish):
-        self.folder, self.agg, self.finish = folder.rstrip("/"), agg, finish
+        super().__init__(folder)
+        self.agg, self.finish = agg, finish
         self.width_us, self.slide_us = duration_us(width), duration_us(slide)
 
-    def at(self, kind: str, batch_id: int) -> str:
-        return f"{self.folder}/{kind}/batch={batch_id}"
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # saved first: the groups that left the state are read several times
-        batch.write.mode("overwrite").parquet(self.at("closed", batch_id))
-        closed = spark.read.schema(batch.schema).parquet(self.at("closed", batch_id))
-        last = closed.agg(F.max("t_us")).first()[0]
-        if last is not None:
-            self.answer(spark, closed, (last + self.width_us) // self.slide_us, batch_id)
-        drop_folder(spark, self.at("closed", batch_id))
-
-    def answer(self, spark: SparkSession, closed: DataFrame, last_k: int, batch_id: int) -> None:
-        known, after_k = None, None
-        if before := [n for n in versions(spark, f"{self.folder}/known") if n < batch_id]:
-            known = spark.read.parquet(self.at("known", before[-1]))
-            after_k = known.agg(F.max("_k")).first()[0]
-        rows = merge.targets_of(
-            _parts(closed, self.agg, self.width_us, self.slide_us), self.width_us, self.slide_us, "timestamp",
+    def answer(self, rows: DataFrame, known: DataFrame | None, batch_id: int) -> None:
+        last_k = (rows.agg(F.max("t_us")).first()[0] + self.width_us) // self.slide_us
+        after_k = known.agg(F.max("_k")).first()[0] if known is not None else None
+        targets = merge.targets_of(
+            _parts(rows, self.agg, self.width_us, self.slide_us), self.width_us, self.slide_us, "timestamp",
             known=known, after_k=after_k, last_k=last_k,
         )
-        path = self.at("rows", batch_id)
-        rows.write.mode("overwrite").parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
-        self.finish(rows).write.mode("overwrite").parquet(self.at("out", batch_id))
+        targets = self.put("targets", targets, batch_id)
+        self.put("out", self.finish(targets), batch_id)
         end = F.timestamp_micros(F.lit(last_k * self.slide_us))
-        newest = rows.filter((F.col("t_end") == end) & F.col("latest_ts").isNotNull()).select(
+        newest = targets.filter((F.col("t_end") == end) & F.col("latest_ts").isNotNull()).select(
             "topic", F.struct(F.col("latest_ts").alias("w_end"), F.col("latest").alias("value")).alias("newest"), F.lit(last_k).cast("bigint").alias("_k")
         )
-        newest.write.mode("overwrite").parquet(self.at("known", batch_id))
-        drop_folder(spark, path)
-        for old in before[:-1]:  # the table before is kept for this micro-batch to be run again
-            drop_folder(spark, self.at("known", old))
-
-    def results(self, spark: SparkSession) -> DataFrame | None:
-        """All results so far; None before the first target has closed."""
-        done = versions(spark, f"{self.folder}/out")
-        return spark.read.parquet(*[self.at("out", n) for n in done]) if done else None
+        self.put("known", newest, batch_id)
+        drop_folder(targets.sparkSession, self.at("targets", batch_id))
 
 
 def start_live(
@@ -180,12 +157,7 @@ def start_live(
     the stream goes on where it stopped.
     """
     groups = closing_targets(windows, reach, width, slide, agg)
-    writer = (
-        groups.writeStream.foreachBatch(LiveTargets(folder, width, slide, agg, finish))
-        .option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
-        .outputMode("append")
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+    return LiveTargets(folder, width, slide, agg, finish).start(groups, available_now, every)
 
 
 def drain_live(windows: DataFrame, reach, width, slide, agg: str, finish: Finish, folder: str | None = None) -> DataFrame:
@@ -193,9 +165,8 @@ def drain_live(windows: DataFrame, reach, width, slide, agg: str, finish: Finish
     spark = windows.sparkSession
     folder = folder or staging_path(spark, "live")
     start_live(windows, folder, reach, width, slide, agg, finish, available_now=True).awaitTermination()
-    live = LiveTargets(folder, width, slide, agg, finish)
-    found = live.results(spark)
+    found = LiveTargets(folder, width, slide, agg, finish).results(spark)
     if found is not None:
-        return found
+        return found.drop("batch")
     nothing = StructType.fromDDL("topic string, t_start timestamp, t_end timestamp, merged double, buffered double, latest double, latest_ts timestamp")
     return finish(spark.createDataFrame([], nothing))

@@ -1,16 +1,14 @@
-"""The streaming forms of window aggregation, deduplication, merging, latest value and gap timers."""
+"""The streaming forms of window aggregation, window relations, deduplication, merging and latest value."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidepane.functions.aggregates import check_aggregate, final
-from tidepane.functions.timegrid import duration_us, interval, micros, start_offset_us
+from tidepane.functions.aggregates import check_aggregate, final, from_partials, merge_partials, partials
+from tidepane.functions.timegrid import duration_us, explode_range, interval, micros, pane_us, start_offset_us
 from tidepane.operators.windows import sliding_agg
 
 
@@ -57,7 +55,7 @@ def stream_merge(
     """
     kind = check_aggregate(agg)
     if kind == "COUNT":
-        raise ValueError("the COUNT merge needs all borders of a target; use merge_windows in batch")
+        raise ValueError("the COUNT merge needs all borders of a target; see tidepane.streaming.live")
     sub_us, width_us, slide_us = duration_us(sub_width), duration_us(width), duration_us(slide)
     reach = F.window(
         late_end,
@@ -142,75 +140,67 @@ def stream_latest(obs: DataFrame, by: Sequence[str] = ("topic",), ts: str = "ts"
     )
 
 
-_GAP_OUTPUT = "topic STRING, silent_us BIGINT, timeout_ms DOUBLE, resumed_us BIGINT"
-_GAP_STATE = "first_us BIGINT, last_us BIGINT, seen BIGINT, alerted BOOLEAN"
+def _stream_changes(obs: DataFrame, width: str | int, slide: str | int, content: Sequence[str], max_delay: str) -> DataFrame:
+    """Copies of each content row in a window (``now``) and in the one a slide earlier (``before``), as the window closes.
 
+    A row in either of the two windows lies in their union, which is one window of ``width + slide``; so one stateful
+    step gives both counts.
+    """
+    width_us, slide_us = duration_us(width), duration_us(slide)
+    both = F.window("ts", interval(width_us + slide_us), interval(slide_us), interval(start_offset_us(width_us, slide_us)))
+    start = micros("w.start") + slide_us
+    rows = with_event_time(obs, max_delay).select(both.alias("w"), "ts", *content)
+    now, before = micros("ts") >= start, micros("ts") < start - slide_us + width_us
+    counted = rows.groupBy("w", *content).agg(
+        F.sum(now.cast("bigint")).alias("now"), F.sum(before.cast("bigint")).alias("before")
+    )
+    return counted.select(F.timestamp_micros(start).alias("w_start"), *content, "now", "before")
 
-def stream_gaps(
-    results: DataFrame,
-    max_delay: str,
-    min_samples: int = 3,
-    multiplier: float = 0.5,
-    fallback_ms: float = 5000,
-    max_ms: float = 15000,
+
+def _more(changes: DataFrame, more: str, less: str, content: Sequence[str], bag: bool) -> DataFrame:
+    if not bag:
+        return changes.filter((F.col(more) > 0) & (F.col(less) == 0)).select("w_start", *content)
+    extra = F.col(more) - F.col(less)
+    return explode_range(changes.filter(extra > 0), "_copy", F.lit(1), extra).select("w_start", *content)
+
+
+def stream_istream(
+    obs: DataFrame, width: str | int, slide: str | int, content: Sequence[str], max_delay: str, bag: bool = False
 ) -> DataFrame:
-    """Alert when a topic stays silent longer than its adaptive timeout.
+    """Rows of each closed window that were not in the window one slide earlier: ``(w_start, *content)``.
 
-    A timer per topic fires when the watermark passes the last result plus the timeout
-    (``resumed_at`` is null then); a result that ends a longer silence within one micro-batch gives
-    its own time. State is four numbers per topic. The input is a stream of window results, one per
-    topic and slide, so a topic brings few rows per micro-batch.
+    The rows are the content columns of ``obs``; ``bag`` counts copies. For append mode.
     """
-    # Nested, so that Spark ships the code itself and executors need not import this package.
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pandas as pd
-
-        def timeout(first, last, seen) -> float:
-            mean = (last - first) / 1000.0 / (seen - 1) if seen > 1 else 0.0
-            if seen >= min_samples and mean > 0:
-                return min(mean * multiplier, max_ms)
-            return fallback_ms
-
-        alerts = []
-        if state.exists:
-            first, last, seen, alerted = state.get
-        else:
-            first, last, seen, alerted = None, None, 0, False
-        if state.hasTimedOut:
-            if not alerted:
-                alerts.append((last, timeout(first, last, seen), None))
-            state.update((first, last, seen, True))
-        else:
-            times = pd.concat([pdf["us"] for pdf in batches]).sort_values()
-            for now in (int(t) for t in times):
-                if seen and now > last:
-                    limit = timeout(first, last, seen)
-                    if not alerted and (now - last) / 1000.0 > limit:
-                        alerts.append((last, limit, now))
-                    alerted = False
-                first = now if first is None else min(first, now)
-                last = now if last is None else max(last, now)
-                seen += 1
-            state.update((first, last, seen, alerted))
-            due = int(last / 1000 + timeout(first, last, seen)) + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "topic": pd.Series([key[0]] * len(alerts), dtype="object"),
-                "silent_us": pd.Series([a[0] for a in alerts], dtype="Int64"),
-                "timeout_ms": pd.Series([a[1] for a in alerts], dtype="float64"),
-                "resumed_us": pd.Series([a[2] for a in alerts], dtype="Int64"),
-            }
-        )
+    return _more(_stream_changes(obs, width, slide, content, max_delay), "now", "before", content, bag)
+
 
-    timed = with_event_time(results, max_delay).select("topic", "ts", micros("ts").alias("us"))
-    alerts = timed.groupBy("topic").applyInPandasWithState(
-        watch, _GAP_OUTPUT, _GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout
+def stream_dstream(
+    obs: DataFrame, width: str | int, slide: str | int, content: Sequence[str], max_delay: str, bag: bool = False
+) -> DataFrame:
+    """Rows of the window one slide earlier that are gone when a window closes, stamped with the later window."""
+    return _more(_stream_changes(obs, width, slide, content, max_delay), "before", "now", content, bag)
+
+
+def stream_exact(
+    obs: DataFrame, width: str | int, slide: str | int, agg: str, max_delay: str, scale: int | None = None
+) -> DataFrame:
+    """Streaming form of :func:`tidepane.operators.panes.exact_answer`: windows per topic and over all topics.
+
+    Raw rows are summed into panes per topic; closed panes go into the windows of their topic and of all topics, in a
+    second stateful step under the same watermark. A window is reported when the watermark has passed its end.
+    """
+    width_us, slide_us = duration_us(width), duration_us(slide)
+    panes = (
+        with_event_time(obs, max_delay)
+        .groupBy(F.window("ts", interval(pane_us(width, slide))).alias("p"), "topic")
+        .agg(*partials("value", scale))
+        .select(F.window_time("p").alias("at"), "topic", "n", "sum", "min", "max")
     )
-    # times cross the border to Python as numbers, which no time zone changes
-    return alerts.select(
-        "topic",
-        F.timestamp_micros("silent_us").alias("silent_since"),
-        "timeout_ms",
-        F.timestamp_micros("resumed_us").alias("resumed_at"),
+    levels = F.explode(F.array(F.struct("topic", F.lit(False).alias("is_total")), F.struct(F.lit(None).cast("string").alias("topic"), F.lit(True).alias("is_total"))))
+    both = panes.withColumn("level", levels)
+    grid = F.window("at", interval(width_us), interval(slide_us), interval(start_offset_us(width_us, slide_us)))
+    return (
+        both.groupBy(grid.alias("w"), "level")
+        .agg(*merge_partials(scale))
+        .select("level.topic", "level.is_total", F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), from_partials(agg).alias("value"), "n")
     )
