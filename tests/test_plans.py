@@ -28,11 +28,19 @@ def test_window_aggregate_reads_three_columns_and_shuffles_once(events):
 
 def test_wide_windows_touch_raw_rows_once(events):
     text = plan(windows.sliding_agg(events, "24 hours", "1 hour", "SUM"))
-    assert text.count("Exchange hashpartitioning") == 2
+    # panes, blocks of panes, windows
+    assert text.count("Exchange hashpartitioning") == 3 and text.count("FileScan") == 1
     assert text.index("Generate explode") < text.index("FileScan")
     assert "Expand" not in text
 
 
+@pytest.mark.parametrize("width, slide", [("24 hours", "1 hour"), ("1 day", "1 minute"), ("1 day", "7 minutes")])
+def test_wide_windows_make_no_copies_of_panes(events, width, slide):
+    partial = panes.pane_partials(events, [width, slide])
+    made = panes.block_parts(partial, width, slide, ["topic"]).count()
+    assert made <= 2 * panes.window_partials(partial, width, slide, ["topic"]).count()
+
+
 def test_exact_answer_scans_once(events):
     text = plan(panes.exact_answer(events, "2 hours", "1 hour", "AVG"))
     assert text.count("FileScan") == 1

@@ -181,3 +181,22 @@ def test_a_silence_of_a_million_slides(make_obs):
     obs = make_obs([("t", 0, 1), ("t", 1_000_000, 2)])
     got = merge.asof_latest(obs, "2 seconds", "1 second")
     assert (got.count(), got.filter("latest = 1.0").count()) == (1_000_001, 1_000_000)
+
+
+@pytest.mark.parametrize("width, slide", [("60 seconds", "5 seconds"), ("50 seconds", "4 seconds"), ("33 seconds", "3 seconds"), ("45 seconds", "1 second")])
+def test_wide_windows_from_blocks_equal_copies(make_obs, monkeypatch, width, slide):
+    """Sparse and dense stretches, times before the epoch's grid and rows without a value."""
+    r = random.Random(4)
+    times = sorted({r.randrange(-300, 300) for _ in range(60)} | set(range(900, 1000, 2)))
+    obs = make_obs([(r.choice("ab"), t, r.randrange(-50, 50) / 4) for t in times]).withColumn(
+        "value", F.when(F.col("arrival") % 11 > 0, F.col("value"))
+    )
+    partial = panes.pane_partials(obs, [width, slide, 500])
+    for scale in (None, 2):
+        results = []
+        for direct in (1000, 8):
+            monkeypatch.setattr(panes, "DIRECT_WINDOWS", direct)
+            windows_of = panes.window_partials(partial, width, slide, ["topic"], scale)
+            exact = panes.exact_answer(obs, width, slide, "SUM", scale=scale).select("topic", "is_total", "w_start", "w_end", "value", "n")
+            results.append([sorted(map(repr, df.collect())) for df in (windows_of, exact)])
+        assert results[0] == results[1]
