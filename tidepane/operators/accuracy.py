@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidepane.functions.grades import accuracy_metrics as metric_columns
 from tidepane.functions.grades import percentage_error
 from tidepane.operators.joins import attach
-from tidepane.operators.ordered import first_n, ordinal, quantile, value_at_rank, value_ranks
+from tidepane.operators.ordered import first_n, ordinal
+from tidepane.operators.ranks import quantiles, values_at
 from tidepane.session import cut_lineage
 
 
@@ -42,9 +43,7 @@ def accuracy_metrics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(*metric_columns("truth", "approx"))
 
 
-def series_stats(
-    df: DataFrame, by: Sequence[str], value: str = "value", max_group_rows: int | None = None
-) -> DataFrame:
+def series_stats(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Count, mean, population deviation, extremes and exact median per series."""
     basic = df.groupBy(*by).agg(
         F.count(value).alias("count"),
@@ -53,8 +52,7 @@ def series_stats(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    medians = value_ranks(df, by, value, max_group_rows).groupBy(*by).agg(quantile(value, 0.5).alias("median"))
-    return attach(basic, medians, by)
+    return attach(basic, quantiles(df, by, value, {"median": 0.5}).select(*by, "median"), by)
 
 
 def floor_rank_percentiles(
@@ -62,32 +60,19 @@ def floor_rank_percentiles(
     by: Sequence[str],
     value: str = "value",
     qs: Sequence[tuple[str, float]] = (("median", 0.5), ("p95", 0.95), ("p99", 0.99)),
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """``sorted[floor(n * q)]``, with extremes, mean and count."""
-    ranks = value_ranks(df, by, value, max_group_rows)
-    held = F.col("r_hi") - F.col("r_lo")
-    return ranks.groupBy(*by).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        (F.sum(F.col(value) * held) / F.sum(held)).alias("avg"),
-        *[value_at_rank(value, F.floor(F.col("n") * F.lit(q))).alias(name) for name, q in qs],
-        F.sum(held).alias("samples"),
+    at = values_at(df, by, value, {name: lambda n, q=q: F.floor(n * F.lit(q)) for name, q in qs})
+    means = df.groupBy(*by).agg(F.avg(value).alias("avg"))
+    return attach(at, means, by).select(
+        *by, F.col("least").alias("min"), F.col("most").alias("max"), "avg", *[name for name, _ in qs], F.col("n").alias("samples")
     )
 
 
-def five_number(
-    df: DataFrame, by: Sequence[str], value: str = "value", max_group_rows: int | None = None
-) -> DataFrame:
+def five_number(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Minimum, quartiles and maximum per group, quartiles interpolated."""
-    ranks = value_ranks(df, by, value, max_group_rows)
-    return ranks.groupBy(*by).agg(
-        F.min(value).alias("min"),
-        quantile(value, 0.25).alias("q1"),
-        quantile(value, 0.5).alias("median"),
-        quantile(value, 0.75).alias("q3"),
-        F.max(value).alias("max"),
-    )
+    at = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return at.select(*by, F.col("least").alias("min"), "q1", "median", "q3", F.col("most").alias("max"))
 
 
 def first_vs_average(pairs: DataFrame, by: Sequence[str], order: str = "ord") -> DataFrame:
