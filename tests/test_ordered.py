@@ -13,11 +13,10 @@ from tidepane.operators.ordered import (
     group_sizes,
     neighbour_in,
     ordinal,
-    quantile,
     running_in,
     to_blocks,
-    value_ranks,
 )
+from tidepane.operators.ranks import quantiles
 
 
 @pytest.fixture(scope="module")
@@ -130,11 +129,8 @@ def test_first_n_takes_any_number(skewed):
     assert rows(got, "subject", "n") == rows(ordinal(skewed, ["topic"], ["ts", "subject"]), "subject", "n")
 
 
-@pytest.mark.parametrize("limit", [None, SMALL // 4])
-def test_quantiles(skewed, limit):
-    got = value_ranks(skewed, ["topic"], "value", limit).groupBy("topic").agg(
-        quantile("value", 0.5).alias("m"), quantile("value", 0.25).alias("q1")
-    )
+def test_quantiles(skewed):
+    got = quantiles(skewed, ["topic"], "value", {"m": 0.5, "q1": 0.25})
     values = {}
     for r in skewed.collect():
         values.setdefault(r.topic, []).append(r.value)
@@ -145,7 +141,7 @@ def test_quantiles(skewed, limit):
 
 
 def test_floor_rank(skewed):
-    got = accuracy.floor_rank_percentiles(skewed, ["topic"], max_group_rows=10).collect()
+    got = accuracy.floor_rank_percentiles(skewed, ["topic"]).collect()
     for r in got:
         mine = sorted(x.value for x in skewed.collect() if x.topic == r.topic)
         assert r.p95 == mine[int(len(mine) * 0.95)]

@@ -287,40 +287,3 @@ def first_n(
         .filter(F.col(name) <= n)
         .withColumn(name, F.col(name).cast("bigint"))
     )
-
-
-def value_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    max_group_rows: int | None = None,
-) -> DataFrame:
-    """Distinct values with the 0-based rank span ``[r_lo, r_hi)`` they fill, and group size ``n``.
-
-    Repeated values are counted before any sort, so a value held by a third of the rows is one row.
-    """
-    if not by:
-        raise ValueError("value_ranks needs at least one group column")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    # Used three times below; saved so that the rows are read once.
-    counts = cut_lineage(counts)
-    ranked = running_in(to_blocks(counts, by, [value], max_group_rows), {"r_hi": ("sum", "_c")})
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
-    return attach(ranked, totals, by).select(
-        *by, value, (F.col("r_hi") - F.col("_c")).alias("r_lo"), "r_hi", "n"
-    )
-
-
-def value_at_rank(value: str, rank: Column) -> Column:
-    """Aggregate over :func:`value_ranks`: the value whose span covers ``rank``."""
-    return F.max(F.when((F.col("r_lo") <= rank) & (rank < F.col("r_hi")), F.col(value)))
-
-
-def quantile(value: str, q: float) -> Column:
-    """Aggregate over :func:`value_ranks`: exact quantile with linear interpolation."""
-    position = F.lit(q) * (F.col("n") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    fraction = F.max(position - low)
-    return value_at_rank(value, low) * (1 - fraction) + value_at_rank(value, high) * fraction
