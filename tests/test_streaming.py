@@ -84,7 +84,7 @@ def test_latest(feed):
 
 def test_gap_timer(feed):
     stream = feed([("a", 0, 0), ("a", 4, 0), ("b", 0, 0)], [("a", 8, 0), ("b", 2, 0)], [("b", 60, 0)], [("b", 61, 0)])
-    out = tables.stream_gaps(stream, "1 second")
+    out = tables.stream_gaps(stream, "5 seconds")
     got = {(r.topic, seconds(r.silent_since), r.resumed_at is None) for r in out.collect()}
     # "a" stops after 8; nobody speaks for it again, so its timer reports it.
     assert ("a", 8.0, True) in got
