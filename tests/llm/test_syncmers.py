@@ -27,28 +27,31 @@ def hashes(spark):
     return run
 
 
-def plain_sketch(text, hashes, k=syncmers.K, s=syncmers.S, size=syncmers.SIZE):
+def plain_sketch(text, hashes, k=syncmers.K, s=syncmers.S):
     import re
 
-    words = hashes(re.findall(r"[^\x20\x09-\x0D]+", text))
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    words = hashes(list(text) if len(text) <= 64 or len(text) > 16 * len(words) else words)
     runs = hashes([words[i : i + s] for i in range(len(words) - s + 1)]) if len(words) >= k else []
     starts = [
         i for i in range(len(words) - k + 1) if min(runs[i : i + k - s + 1]) in (runs[i], runs[i + k - s])
     ]
     whole = hashes([[runs[i + j] for j in sorted({*range(0, k - s + 1, s), k - s})] for i in starts])
-    found = sorted(((h & 0xFFFFFFFF) << 25 | i << 1) for h, i in zip(whole, starts))
-    found = found or [(hashes([text])[0] & 0xFFFFFFFF) << 25]
-    first = [a for n, a in enumerate(found) if not n or a >> 25 != found[n - 1] >> 25]
-    return first[:size]
-
-
-def plain_likeness(a, b, size=syncmers.SIZE):
-    limit = min(x[-1] >> 25 if len(x) >= size else 1 << 32 for x in (a, b))
-    left = {v >> 25: v >> 1 & 0xFFFFFF for v in a if v >> 25 <= limit}
-    right = {v >> 25: v >> 1 & 0xFFFFFF for v in b if v >> 25 <= limit}
-    shifts = sorted(right[h] - left[h] for h in left.keys() & right.keys())
-    agreed = sum(abs(d - shifts[len(shifts) // 2]) <= syncmers.SLACK for d in shifts)
-    return 2 * agreed / (len(left) + len(right)) if left or right else 0.0
+    places = {}
+    for h, i in zip(whole, starts):
+        places.setdefault(h & 0xFFFFFFFF, i)
+    places = places or {hashes([text])[0] & 0xFFFFFFFF: 0}
+    return [h << 25 | i << 1 for h, i in sorted(places.items())]
+
+
+def plain_likeness(a, b):
+    left, right = ({v >> 25: v >> 1 & 0xFFFFFF for v in x} for x in (a, b))
+    shifts = [d - i for i, d in sorted((left[h], right[h]) for h in left.keys() & right.keys())]
+    agreed = sum(
+        len(shifts) == 1 or any(abs(d - e) <= syncmers.SLACK for e in shifts[max(n - 1, 0) : n] + shifts[n + 1 : n + 2])
+        for n, d in enumerate(shifts)
+    )
+    return 2 * agreed / (len(left) + len(right))
 
 
 def test_query_against_brute_force(spark, small_texts, hashes):
@@ -85,6 +88,29 @@ def test_equal_texts_and_shifts(make_docs):
     assert near[0, 1] > 0.9 and near[0, 2] == near[1, 2] == 0.0
 
 
+def likeness(make_docs, text, other):
+    docs = make_docs([text]).withColumn("other", F.lit(other))
+    both = syncmers.with_sketch(syncmers.with_sketch(docs, "text", "s"), "other", "t")
+    return syncmers.with_likeness(both, "s", "t", "near").first()
+
+
+def test_words_put_in_midway_and_parts_exchanged(make_docs):
+    words = [f"w{i}" for i in range(3000)]
+    put_in = [*words[:1500], *(f"new{i}" for i in range(40)), *words[1500:]]
+    row = likeness(make_docs, " ".join(words), " ".join(put_in))
+    assert row.near > 0.95 and len(row.s) > 1500  # no anchor is cut off
+    assert likeness(make_docs, " ".join(words), " ".join(words[1000:] + words[:1000])).near > 0.95
+    shared = [f"x{i}" for i in range(2000)] + words[200:400] + [f"y{i}" for i in range(2000)]
+    assert 0.03 < likeness(make_docs, " ".join(words), " ".join(shared)).near < 0.08
+
+
+def test_short_texts_and_scripts_without_blanks(make_docs):
+    assert 0.4 < likeness(make_docs, "three short words", "three short wonder").near < 1
+    text = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(800))
+    assert 0.6 < likeness(make_docs, text, text[:600] + "".join(chr(0x6E00 + i) for i in range(200))).near < 0.9
+    assert likeness(make_docs, "", "").near == likeness(make_docs, "a", "a").near == 1.0
+
+
 def test_next_ids(spark):
     rows = spark.createDataFrame([(i, 1) for i in [5, -3, 9, 9, None, 200, 7]], "id bigint, take int")
     assert {r.id: r.next_id for r in syncmers.next_ids(rows).collect()} == {-3: 5, 5: 7, 7: 9, 9: 200, 200: -3}

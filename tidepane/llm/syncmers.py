@@ -1,13 +1,16 @@
-"""Document fingerprints from closed syncmers of words; built-in functions only.
+"""Document fingerprints from closed syncmers; built-in functions only.
 
-The words of a text (between white space) are its symbols. A window of ``k`` words is an anchor if the least of the hashes of
-its inner runs of ``s`` words is that of the first or the last run. That depends on the window alone, so an edit
-elsewhere moves no anchor, and one of every ``k - s`` windows in a row is an anchor. A fingerprint holds the ``size`` anchors with the
-smallest hashes, each with the position of its first word. Two fingerprints are compared where both are complete: an
-anchor counts as shared if its two positions differ by about as much as those of the middle shared anchor, and the
-likeness is twice the shared anchors over the anchors of both.
+The words of a text (between white space) are its symbols; a text of at most ``SHORT`` characters, or of over ``LONG_WORD``
+characters a word (scripts without blanks), has its characters instead. A window of ``k`` symbols is an anchor if the least of
+the hashes of its inner runs of ``s`` symbols is that of the first or the last run. That depends on the window alone, so
+an edit elsewhere moves no anchor, and one of every ``k - s`` windows in a row is an anchor. A fingerprint holds all distinct
+anchors of the text by hash, each with the position of its first place.
 
-Null texts count as empty. A text without an anchor (always if it has fewer than ``k`` words) has the hash of the
+Anchors that two fingerprints share are put in order of their places in the first one. One counts if its shift, the
+difference of its two places, is within ``SLACK`` of that of the shared anchor before or after it, so text may be put in or
+taken out anywhere; an only shared anchor counts. The likeness is twice the anchors that count over the anchors of both.
+
+Null texts count as empty. A text without an anchor (always if it has fewer than ``k`` symbols) has the hash of the
 whole text for its only one. Equal texts have equal fingerprints. Next to a row stands the one with the next larger id,
 after the last id the first; of rows with equal ids the one with the least text hash is taken. Rows without id have
 no next row: their edited text ends where the last quarter began, and ``near_next`` is null.
@@ -22,23 +25,32 @@ from tidepane.session import cut_lineage
 
 K = 4
 S = 2
-SIZE = 64
-#: Words by which positions of shared anchors may differ more or less than the middle one.
-SLACK = 32
+#: Symbols by which the shifts of neighbouring shared anchors may differ.
+SLACK = 8
+#: Texts of at most so many characters, and of more characters a word than this, are read by characters.
+SHORT = 64
+LONG_WORD = 16
 
 WORD = r"[^\x20\x09-\x0D]+"
 # An anchor is a long: 32 bits of hash, 24 of position, and a low bit that tells two fingerprints apart.
 _POSITION_BITS = 24
 
 
-def with_sketch(docs: DataFrame, text: str, out: str, k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
+def _symbols(text: str):
+    """Hashes of the words of ``text`` (given as ``__w``), or of its characters."""
+    by_character = (F.length(text) <= SHORT) | (F.length(text) > LONG_WORD * F.size("__w"))
+    characters = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+    return F.transform(F.when(by_character, characters).otherwise(F.col("__w")), lambda w: F.xxhash64(w))
+
+
+def with_sketch(docs: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """``docs`` with the anchors of ``text`` (not null) as a sorted ``array<bigint>`` in ``out``.
 
     Arrays that are read by index are columns of their own, made once for a text.
     """
     inner = k - s
-    words = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    steps = docs.withColumn("__w", words)
+    steps = docs.withColumn("__w", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+    steps = steps.withColumn("__w", _symbols(text))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("__w") - s), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(s)])
     )
@@ -49,7 +61,7 @@ def with_sketch(docs: DataFrame, text: str, out: str, k: int = K, s: int = S, si
         return F.least(run[0], run[-1]) == F.least(*run)
 
     def anchor(i):
-        # runs s apart and, if k is no multiple of s, the last one cover all words of the window
+        # runs s apart and, if k is no multiple of s, the last one cover all symbols of the window
         whole = F.xxhash64(*[F.get("__s", i + j) for j in sorted({*range(0, inner + 1, s), inner})])
         return _packed(whole, i)
 
@@ -57,10 +69,10 @@ def with_sketch(docs: DataFrame, text: str, out: str, k: int = K, s: int = S, si
     found = F.when(F.col("__s").isNotNull(), F.transform(starts, anchor))
     steps = steps.withColumn("__found", found)
     alone = F.array(_packed(F.xxhash64(text), F.lit(0)))
-    steps = steps.withColumn("__all", F.when(F.size("__found") > 0, F.array_sort("__found")).otherwise(alone))
+    steps = steps.withColumn("__all", F.when(F.size("__found") > 0, F.sort_array("__found")).otherwise(alone))
     # of anchors with equal hashes the first one
     first = F.filter("__all", lambda a, i: (i == 0) | (_hash(a) != _hash(F.get("__all", i - 1))))
-    return steps.withColumn(out, F.slice(first, 1, size)).drop("__w", "__s", "__found", "__all")
+    return steps.withColumn(out, first).drop("__w", "__s", "__found", "__all")
 
 
 def _packed(hashed, position):
@@ -81,27 +93,30 @@ def as_text(sketch: str):
     return F.array_join(F.transform(sketch, lambda a: F.lower(F.lpad(F.hex(F.shiftright(a, 1)), 14, "0"))), "")
 
 
-def with_likeness(docs: DataFrame, left: str, right: str, out: str, size: int = SIZE) -> DataFrame:
+def with_likeness(docs: DataFrame, left: str, right: str, out: str) -> DataFrame:
     """Likeness from 0 to 1 of two sketches; null if one is null."""
-    both = F.array_sort(F.concat(left, F.transform(right, lambda a: a.bitwiseOR(F.lit(1).cast("bigint")))))
-    # hashes up to the last one of a full sketch are complete in it
-    full = lambda c: F.when(F.size(c) >= size, _hash(F.element_at(c, -1))).otherwise(F.lit(1 << 32))
-    steps = docs.withColumn("__limit", F.least(full(left), full(right)))
-    steps = steps.withColumn("__both", F.filter(both, lambda a: _hash(a) <= F.col("__limit")))
-    side = lambda a: F.when(a.bitwiseAND(F.lit(1).cast("bigint")) == 1, 1).otherwise(-1)
-    shifts = F.transform(
-        F.filter(
-            F.transform("__both", lambda a, i: F.struct(a.alias("a"), F.get("__both", i + 1).alias("b"))),
-            lambda p: _hash(p["a"]) == _hash(p["b"]),
-        ),
-        lambda p: _position(p["b"]) * side(p["b"]) + _position(p["a"]) * side(p["a"]),
+    both = F.sort_array(F.concat(left, F.transform(right, lambda a: a.bitwiseOR(F.lit(1).cast("bigint")))))
+    steps = docs.withColumn("__both", both)
+    # a hash stands once in a sketch; where places are equal too, the left anchor comes first by its low bit
+    ours = lambda a: a.bitwiseAND(F.lit(1).cast("bigint")) == 0
+    twice = F.filter(
+        F.sequence(F.lit(0), F.size("__both") - 2),
+        lambda i: _hash(F.get("__both", i)) == _hash(F.get("__both", i + 1)),
     )
-    steps = steps.withColumn("__shifts", F.array_sort(shifts))
-    steps = steps.withColumn("__middle", F.get("__shifts", F.floor(F.size("__shifts") / 2).cast("int")))
-    agreed = F.size(F.filter("__shifts", lambda d: F.abs(d - F.col("__middle")) <= SLACK))
-    value = F.when(F.size("__both") > 0, 2.0 * agreed / F.size("__both")).otherwise(F.lit(0.0))
+
+    def places(i):
+        a, b = F.get("__both", i), F.get("__both", i + 1)
+        x, y = _position(a), _position(b)
+        return F.shiftleft(F.when(ours(a), x).otherwise(y), _POSITION_BITS) + F.when(ours(a), y).otherwise(x)
+
+    shared = F.when(F.size("__both") > 1, F.sort_array(F.transform(twice, places)))
+    shift = lambda p: p.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) - F.shiftright(p, _POSITION_BITS)
+    steps = steps.withColumn("__shifts", F.transform(shared, shift))
+    near = lambda d, i: F.coalesce(F.abs(d - F.get("__shifts", i)) <= SLACK, F.lit(False))
+    agreed = F.size(F.filter("__shifts", lambda d, i: near(d, i - 1) | near(d, i + 1) | (F.size("__shifts") == 1)))
+    value = F.when(F.size("__both") > 0, 2.0 * F.greatest(agreed, F.lit(0)) / F.size("__both")).otherwise(F.lit(0.0))
     value = F.when(F.col("__both").isNotNull(), value)
-    return steps.withColumn(out, value).drop("__limit", "__both", "__shifts", "__middle")
+    return steps.withColumn(out, value).drop("__both", "__shifts")
 
 
 def next_ids(rows: DataFrame) -> DataFrame:
