@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -41,7 +42,8 @@ def plain_private(text):
 
 @pytest.fixture(scope="module")
 def params(small_texts):
-    x, y = private_data.examples(small_texts, 1500)
+    parts = [private_data.labelled(t or "") for t in small_texts]
+    x, y = private_data.examples([r for rows, _ in parts for r in rows], [w for _, words in parts for w in words], 1500)
     return tagger.train(x, y, private_data.LABELS, steps=150)
 
 
@@ -77,6 +79,42 @@ def test_gradients_of_the_tagger():
         assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=1e-2, abs=1e-5)
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    scores, trans = rng.normal(0, 2, (30, 5)), rng.normal(0, 1, (5, 5))
+    firsts, stops = np.array([1, 7, 9, 20]), np.array([5, 8, 14, 26])
+    got = tagger.decode(scores, firsts, stops, trans)
+    outside = set(range(30)) - {i for a, b in zip(firsts, stops) for i in range(a, b)}
+    assert not any(got[i] for i in outside)
+    for a, b in zip(firsts, stops):
+        best = None
+        for path in itertools.product(range(5), repeat=int(b - a)):
+            steps = list(zip((0, *path), (*path, 0)))
+            if all(w not in (2, 4) or v in (w - 1, w) for v, w in steps):
+                value = sum(trans[v, w] for v, w in steps) + sum(scores[a + t, w] for t, w in enumerate(path))
+                best = max(best or (value, path), (value, path))
+        assert tuple(got[a:b]) == best[1]
+    assert not tagger.decode(scores, firsts[:0], stops[:0], trans).any()
+
+
+def test_parts_of_a_long_text_give_the_same_spans(params, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join(f"plain words {private_data.made_up(rng, k % 6)}" for k in range(300))
+    whole = private_data.find(["x 1", text, "mail a (at) b (dot) org"], params)
+    monkeypatch.setattr(private_data, "PART", 16)
+    assert private_data.find(["x 1", text, "mail a (at) b (dot) org"], params) == whole
+    assert sum(not base for *_, base in whole[1]) > 20
+
+
+def test_training_in_a_task(make_docs):
+    texts = [*ODD_TEXTS, "mail a.b@c.de or 10.0.0.1 now", "x" * 200_000 + " +1 (974) 555-3436"]
+    docs = make_docs(texts, o=["o"] * len(texts))
+    params = private_data.train(docs)
+    assert all((params[k] == v).all() for k, v in private_data.train(docs).items())
+    assert private_data.find(["call (974) 555-3436 now"], params)[0] == [(3, 5, 19, False)]
+    assert private_data.train(docs.limit(0)).keys() == params.keys()
+
+
 def test_tagger_adds_what_the_patterns_miss(params):
     rng = np.random.default_rng(42)
     found = wrong = 0

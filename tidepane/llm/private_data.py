@@ -2,9 +2,10 @@
 
 The tagger (:mod:`tidepane.llm.tagger`) is trained here on labelled spans: those the patterns find in a bounded sample
 of texts, and made-up ones in many notations set into words of that sample. It reads windows of ``WINDOW`` characters every ``STRIDE``
-characters, so every character is read in two windows with context on both sides. The two label
-distributions of a character are averaged, with more weight where it lies further inside, over the whole text; runs of
-one kind in the result are spans. A span is added if its mean probability is high, it overlaps no span of the patterns and its
+characters, so every character is read in two windows with context on both sides. Scores and label
+distributions of a character are averaged, with more weight where it lies further inside, over the whole text. Where
+anything but plain text has a chance, whole stretches are decoded at once by the best path through the averaged
+scores and the learned transitions. A span is added if its mean probability is high, it overlaps no span of the patterns and its
 kind's own check holds (a card passes Luhn, an address has four parts up to 255 …).
 
 Every kind needs a digit, an at sign or a bracketed "at"; windows are read around those only, which loses nothing since a span without any
@@ -14,6 +15,7 @@ fails its check. Null texts count as empty and have no spans. Positions are code
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,16 @@ WINDOW, STRIDE = 96, 48
 #: Texts the tagger is trained on, on average, besides made-up ones.
 SAMPLE_TEXTS = 400
 EXAMPLES = 4_000
+#: Labelled windows and words that one text of the sample gives at most, drawn from the whole of it.
+TEXT_WINDOWS, TEXT_WORDS = 20, 50
 #: Least mean probability of an added span.
 CERTAIN = 0.6
+#: Characters that are plain text with no more than this chance against it are not decoded.
+DOUBT = 0.01
 #: Windows read at a time.
 BLOCK = 512
+#: Windows whose lines of characters are held at a time, and by which the parts of a longer text overlap.
+PART, MARGIN = 8 * BLOCK, 8
 #: Bytes of text held as Python strings at a time in a task; doesn't change a result.
 CHUNK_BYTES = 4 << 20
 
@@ -176,24 +184,30 @@ def _labelled(text: str, spans: list[Span], start: int) -> tuple[np.ndarray, np.
     return x, y
 
 
-def examples(texts: list[str], n: int = EXAMPLES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels: matches of the patterns in ``texts``, and made-up data among words of ``texts``."""
+def labelled(text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Windows around some matches of the patterns with their labels, and some words without data, of all the text."""
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    spans, rows = base_spans(text), []
+    for at in rng.permutation(len(spans))[:TEXT_WINDOWS].tolist():
+        _, a, b = spans[at]
+        start = int(rng.integers(b - WINDOW, a + 1)) if b - a < WINDOW else a
+        # a span of two neighbouring numbers that fails as one isn't labelled data; leave such windows out
+        if not _CARD.search(text[max(start, 0) : a][-30:]) and not _CARD.search(text[b : max(start, 0) + WINDOW]):
+            rows.append(_labelled(text, spans, start))
+    words = sorted({w for w in text.split() if len(w) <= WINDOW and not _CUE.search(w)})
+    return rows, [words[k] for k in rng.permutation(len(words))[:TEXT_WORDS].tolist()]
+
+
+def examples(
+    rows: list[tuple[np.ndarray, np.ndarray]], words: list[str], n: int = EXAMPLES, seed: int = 11
+) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels: ``rows``, at most half of all, and made-up data among ``words``, or made-up ones if there are none."""
     rng = np.random.default_rng(seed)
-    rows = []
-    # the surroundings of made-up data: some words of the sample, or made-up ones for a sample without any
-    found = sorted({w for t in texts for w in t.split()[:50] if not _CUE.search(w)}) or [_word(rng) for _ in range(500)]
-    words = np.array(found, object)
+    pool = np.array(sorted(set(words)) or [_word(rng) for _ in range(500)], object)
 
     def some(n: int) -> str:
-        return " ".join(words[rng.integers(0, len(words), n)])
+        return " ".join(pool[rng.integers(0, len(pool), n)])
 
-    for text in texts:
-        spans = base_spans(text)
-        # a span of two neighbouring numbers that fails as one isn't labelled data; leave such windows out
-        for kind, a, b in spans:
-            start = int(rng.integers(b - WINDOW, a + 1)) if b - a < WINDOW else a
-            if not _CARD.search(text[max(start, 0) : a][-30:]) and not _CARD.search(text[b : start + WINDOW]):
-                rows.append(_labelled(text, spans, start))
     rows = rows[: n // 2]
     while len(rows) < n:
         parts, spans, at, kind = [], [], 0, int(rng.integers(0, 6))
@@ -213,14 +227,40 @@ def examples(texts: list[str], n: int = EXAMPLES, seed: int = 11) -> tuple[np.nd
 
 
 def train(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> tagger.Params:
-    """A tagger fitted to a sample of ``docs``: the rows whose text hash is below a bound, ``sample_texts`` on average."""
+    """A tagger fitted to a sample of ``docs``: the rows whose text hash is below a bound, ``sample_texts`` on average.
+
+    Each text of the sample becomes a few windows and words where it lies; only these go to the task that trains.
+    """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     share = min(1.0, sample_texts / max(rows.count(), 1))
     order = F.xxhash64("t").bitwiseAND(F.lit(2**63 - 1))
-    # copies of one text share its hash: one of them is enough, and no group of copies fills the sample
-    sample = rows.filter(order <= int(min(share * 2**63, 2**63 - 1))).distinct().orderBy(order, "t")
-    x, y = examples([r.t for r in sample.take(2 * sample_texts)])
-    return tagger.train(x, y, LABELS)
+    sample = rows.filter(order <= int(min(share * 2**63, 2**63 - 1))).select(order.alias("o"), "t")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o, t in zip(batch.column(0), batch.column(1)):
+                found, words = labelled(t.as_py())
+                x, y = (b"".join(r[k].astype(np.uint8).tobytes() for r in found) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o.as_py()], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary()), pa.array([words], pa.list_(pa.string()))],
+                    ["o", "x", "y", "words"],
+                )
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, words = [], []
+        for batch in batches:
+            for x, y, some in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "words"))):
+                wide = (np.frombuffer(v, np.uint8).reshape(-1, WINDOW) for v in (x, y))
+                found += [(a, b.astype(np.int64)) for a, b in zip(*wide)]
+                words += some
+        params = tagger.train(*examples(found, words), LABELS)
+        yield pa.RecordBatch.from_arrays([pa.array([tagger.to_bytes(params)], pa.binary())], ["params"])
+
+    # copies of one text give equal rows: one of them is enough, and no group of copies fills the sample
+    parts = sample.mapInArrow(cut, "o bigint, x binary, y binary, words array<string>").distinct()
+    parts = parts.orderBy("o", "x", "words").limit(2 * sample_texts).repartition(1).sortWithinPartitions("o", "x", "words")
+    row = parts.mapInArrow(fit, "params binary").first()
+    return tagger.from_bytes(row.params) if row else tagger.train(*examples([], []), LABELS, steps=1)
 
 
 # -- reading -----------------------------------------------------------------------------------------------------------
@@ -231,6 +271,7 @@ def find(texts: list[str], params: tagger.Params) -> list[list[tuple[int, int, i
     found: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
     windows: list[tuple[int, int]] = []
     held: dict[int, np.ndarray] = {}
+    accepted: dict[int, tuple[int, int]] = {}
     size = 0
     for i, text in enumerate(texts):
         if not _CUE.search(text):
@@ -240,18 +281,24 @@ def find(texts: list[str], params: tagger.Params) -> list[list[tuple[int, int, i
         cells = {m.start() // STRIDE for m in _CUE.finditer(text)}
         cells |= {c - 1 for c in cells} | {c + 1 for c in cells}
         cells = sorted(c for c in cells if 0 <= c * STRIDE < len(text))
-        windows += [(i, c) for c in cells]
         size += len(text)
-        if len(windows) >= 8 * BLOCK or size > 4_000_000:
-            _tag(texts, held, windows, params, found)
-            windows, held, size = [], {}, 0
+        # a text of very many windows is read in parts that overlap by MARGIN windows; a span counts in one of them
+        for at in range(0, len(cells), PART):
+            low = 0 if at == 0 else cells[at] * STRIDE
+            high = cells[at + PART] * STRIDE if at + PART < len(cells) else len(text)
+            windows += [(i, c) for c in cells[max(at - MARGIN, 0) : at + PART + MARGIN]]
+            accepted[i] = (low, high)
+            if len(windows) >= PART or size > 4_000_000:
+                _tag(texts, held, windows, accepted, params, found)
+                windows, accepted = [], {}
+                held, size = ({i: held[i]}, len(text)) if at + PART < len(cells) else ({}, 0)
     if windows:
-        _tag(texts, held, windows, params, found)
+        _tag(texts, held, windows, accepted, params, found)
     return found
 
 
-def _tag(texts, held, windows, params, found) -> None:
-    """Adds the tagger's spans of the texts in ``windows``, a sorted list of (text, cell)."""
+def _tag(texts, held, windows, accepted, params, found) -> None:
+    """Adds the tagger's spans of the texts in ``windows``, a sorted list of (text, cell), that begin where they are accepted."""
     lead = (WINDOW - STRIDE) // 2
     n = len(windows)
     x = np.full((n, WINDOW), tagger.FILL, np.uint8)
@@ -260,41 +307,45 @@ def _tag(texts, held, windows, params, found) -> None:
         points = held[i][max(start, 0) : start + WINDOW]
         at = max(-start, 0)
         x[k, at : at + len(points)] = tagger.classes(points)
-    each = np.concatenate([
-        tagger.posteriors(params, np.ascontiguousarray(x[at : at + BLOCK].T)).transpose(1, 0, 2) for at in range(0, n, BLOCK)
-    ])
-    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
-    weighted = each * weight[None, :, None]
     # windows in a row overlap: their sums lie on one line of characters, with a gap after the last of a row
     cell = np.array([c for _, c in windows])
     owner = np.array([i for i, _ in windows])
     new_row = np.ones(n, bool)
     new_row[1:] = (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1] + 1)
     place = np.arange(n) * STRIDE + np.cumsum(new_row) * WINDOW
-    line = np.zeros((place[-1] + WINDOW + 1, LABELS), np.float32)
-    for k in range(0, WINDOW, STRIDE):  # in two steps, so no place is added to twice at once
-        at = (place[:, None] + np.arange(k, k + STRIDE)[None, :]).ravel()
-        line[at] += weighted[:, k : k + STRIDE].reshape(-1, LABELS)
-    total = line.sum(axis=1, keepdims=True)
-    line = np.where(total > 0, line / np.maximum(total, 1e-9), 0)
-    starts, inside = line[:, 1::2], line[:, 2::2]
-    by_kind = np.concatenate((np.where(total > 0, line[:, :1], 1.0), starts + inside), axis=1)
-    kind = by_kind.argmax(axis=1)
-    begin = (kind > 0) & (
-        (kind != np.concatenate(([0], kind[:-1])))
-        | (np.take_along_axis(starts, np.maximum(kind - 1, 0)[:, None], 1) > np.take_along_axis(inside, np.maximum(kind - 1, 0)[:, None], 1))[:, 0]
-    )
+    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
+    total = np.zeros(place[-1] + WINDOW + 1, np.float32)
+    scores, line = (np.zeros((len(total), LABELS), np.float32) for _ in range(2))
+    for first in range(0, n, BLOCK):
+        some = place[first : first + BLOCK]
+        both = [v.transpose(1, 0, 2) for v in tagger.read(params, np.ascontiguousarray(x[first : first + BLOCK].T))]
+        for k in range(0, WINDOW, STRIDE):  # in two steps, so no place is added to twice at once
+            at = (some[:, None] + np.arange(k, k + STRIDE)[None, :]).ravel()
+            part = weight[None, k : k + STRIDE, None]
+            total[at] += np.tile(weight[k : k + STRIDE], len(some))
+            for sums, each in zip((scores, line), both):
+                sums[at] += (each[:, k : k + STRIDE] * part).reshape(-1, LABELS)
+    seen = total > 0
+    for sums in (scores, line):
+        sums[seen] /= total[seen, None]
+    open_ = np.concatenate(([False], seen & (line[:, 0] < 1 - DOUBT), [False]))
+    edges = np.flatnonzero(open_[1:] != open_[:-1])
+    label = tagger.decode(scores, edges[::2], edges[1::2], params["trans"])
+    begin = label % 2 == 1
+    kind = (label + 1) // 2
+    by_kind = line[:, 1::2] + line[:, 2::2]
     firsts = np.flatnonzero(begin)
-    stops = np.flatnonzero((kind > 0) & (np.concatenate((begin[1:], [True])) | (np.concatenate((kind[1:], [0])) != kind)))
-    chance = np.concatenate(([0.0], np.cumsum(by_kind[np.arange(len(kind)), kind], dtype=np.float64)))
+    stops = np.flatnonzero((kind > 0) & np.concatenate(((label[1:] == 0) | begin[1:], [True])))
+    chance = np.concatenate(([0.0], np.cumsum(by_kind[np.arange(len(kind)), np.maximum(kind - 1, 0)], dtype=np.float64)))
     for a, b in zip(firsts.tolist(), (stops + 1).tolist()):
         if (chance[b] - chance[a]) / (b - a) < CERTAIN:
             continue
         k = int(np.searchsorted(place, a, "right")) - 1
         i = windows[k][0]
-        start = cell[k] * STRIDE - lead + (a - place[k])
-        _add(texts[i], found[i], int(kind[a]) - 1, int(start), int(start + b - a))
-    for i in {i for i, _ in windows}:
+        start = int(cell[k] * STRIDE - lead + (a - place[k]))
+        if accepted[i][0] <= max(start, 0) < accepted[i][1]:
+            _add(texts[i], found[i], int(kind[a]) - 1, start, start + b - a)
+    for i in accepted:
         found[i].sort()
 
 

@@ -1,7 +1,9 @@
-"""A bidirectional LSTM over characters with CRF transitions, in numpy: forward, gradients, posteriors."""
+"""A bidirectional LSTM over characters with CRF transitions, in numpy: forward, gradients, posteriors, decoding."""
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 #: Character classes: ASCII as it is, then other letters, other signs, and the filling of short windows.
@@ -90,11 +92,49 @@ def _messages(scores: np.ndarray, trans: np.ndarray):
     return ahead, back, local, step
 
 
-def posteriors(params: Params, x: np.ndarray) -> np.ndarray:
-    """Probability of each label [T, B, L] given the whole window."""
-    ahead, back, _, _ = _messages(emissions(params, x)[0], params["trans"])
+def read(params: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and, given the whole window, probabilities of each label, both [T, B, L]."""
+    scores = emissions(params, x)[0]
+    ahead, back, _, _ = _messages(scores, params["trans"])
     both = ahead * back
-    return both / both.sum(axis=2, keepdims=True)
+    return scores, both / both.sum(axis=2, keepdims=True)
+
+
+def allowed(labels: int) -> np.ndarray:
+    """Which label may follow which: the inside of a kind (2 + 2k) only its start (1 + 2k) or itself."""
+    out = np.ones((labels, labels), bool)
+    for inside in range(2, labels, 2):
+        out[:, inside] = False
+        out[[inside - 1, inside], inside] = True
+    return out
+
+
+def decode(scores: np.ndarray, firsts: np.ndarray, stops: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best label of each place of ``scores`` [N, L]: whole stretches ``firsts`` to ``stops`` by Viterbi, label 0 elsewhere.
+
+    The places before and after a stretch are label 0. Long stretches come first, so those a step reaches are a prefix.
+    """
+    out = np.zeros(len(scores), np.int64)
+    if not len(firsts):
+        return out
+    steps = np.where(allowed(len(trans)), trans, -1e6)
+    order = np.argsort(firsts - stops, kind="stable")
+    firsts, sizes = firsts[order], (stops - firsts)[order]
+    reached = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # stretches longer than t
+    best = steps[0][None, :] + scores[firsts]
+    came = []
+    for t in range(1, sizes[0]):
+        n = reached[t]
+        through = best[:n, :, None] + steps[None, :, :]
+        came.append(through.argmax(axis=1).astype(np.uint8))
+        best[:n] = through.max(axis=1) + scores[firsts[:n] + t]
+    label = (best + steps[:, 0]).argmax(axis=1)
+    for t in range(sizes[0] - 1, -1, -1):
+        n = reached[t]
+        out[firsts[:n] + t] = label[:n]
+        if t:
+            label[:n] = came[t - 1][np.arange(n), label[:n]]
+    return out
 
 
 def gradients(params: Params, x: np.ndarray, y: np.ndarray) -> Params:
@@ -162,3 +202,14 @@ def train(
             a, b = first[k] / (1 - 0.9**n), second[k] / (1 - 0.99**n)
             params[k] = (params[k] - pace * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
     return params
+
+
+def to_bytes(params: Params) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **params)
+    return held.getvalue()
+
+
+def from_bytes(data: bytes) -> Params:
+    with np.load(io.BytesIO(data)) as held:
+        return {k: held[k] for k in held.files}
