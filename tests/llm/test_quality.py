@@ -119,6 +119,14 @@ def test_bad_hosts_are_held_to_every_rule(spark):
     assert not judged["bad", mild] and not judged["bad", poor]
 
 
+def test_documents_with_columns_named_like_results(make_docs):
+    names = ["host_rate", "base_failed", "kept", "n_words", "n_repeat_words", "suspect"]
+    docs = make_docs(["too short", None], **{c: ["x", "y"] for c in names})
+    judged = quality_rules.judge(docs)
+    assert len(set(judged.columns)) == len(judged.columns)
+    assert [(r.suspect, r.n_words, r.base_failed) for r in judged.orderBy("doc_id").collect()] == [("x", 2, True), ("y", 0, True)]
+
+
 # -- lines -------------------------------------------------------------------------------------------------------------
 
 
@@ -126,7 +134,7 @@ def test_shared_passage_goes_wherever_it_stands(make_docs):
     long = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(3)]
     passage = "\n".join(long)
     texts = [f"own one\n{passage}\nmore", f"{passage}\nother", f"a\nb\nc\nd\ne\nf\n{passage}", "own one\nmore", None, ""]
-    docs = make_docs(texts, lines=["x"] * len(texts))
+    docs = make_docs(texts, **{c: ["x"] * len(texts) for c in ("lines", "spans", "hash", "first", "start", "n_lines", "gone")})
     rows = line_dedup.without_repeats(docs, removed="gone").orderBy("doc_id").collect()
     assert [r.text for r in rows] == [texts[0], "other", "a\nb\nc\nd\ne\nf", "own one\nmore", None, ""]
     assert [r.gone for r in rows] == [0, 3, 3, 0, 0, 0]

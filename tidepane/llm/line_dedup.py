@@ -91,14 +91,14 @@ def repeated(chunks: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``__id, __th, spans``: places to remove from each text that holds any, as an array of (start, n_lines)."""
+    """``__id, __th, __spans``: places to remove from each text that holds any, as an array of (start, n_lines)."""
     chunks = chunked(docs, text, id_col)
     places = chunks.select("__id", "__th", "start", "n_lines", _key().alias("hash"))
     within = Window.partitionBy("__id", "__th", "hash")  # the places of one chunk in one text
     found = places.join(repeated(chunks), "hash").distinct()  # repeated rows have equal places
     found = found.withColumn("earliest", F.min("start").over(within))
     gone = found.filter(~(F.col("__id").eqNullSafe(F.col("first")) & (F.col("start") == F.col("earliest"))))
-    return gone.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "n_lines")).alias("spans"))
+    return gone.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "n_lines")).alias("__spans"))
 
 
 def without_repeats(
@@ -111,14 +111,14 @@ def without_repeats(
         gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left"
     )
     # arrays read by index are columns of their own, made once for a text, and only for texts that lose lines
-    joined = joined.withColumn("__lines", F.when(F.col("spans").isNotNull(), F.split(whole, "\n")))
-    cut = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n_lines"] - 1)))
+    joined = joined.withColumn("__lines", F.when(F.col("__spans").isNotNull(), F.split(whole, "\n")))
+    cut = F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["n_lines"] - 1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), cut)
     kept = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    out = {text: F.when(F.col("spans").isNull(), F.col(text)).otherwise(kept)}
+    out = {text: F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)}
     columns = [F.col(c) if c != text else out[text].alias(text) for c in docs.columns if c != removed]
     if removed:
-        count = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["n_lines"])
+        count = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["n_lines"])
         columns.append(F.coalesce(count, F.lit(0)).alias(removed))
     return joined.select(*columns)
 

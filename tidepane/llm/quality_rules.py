@@ -92,9 +92,11 @@ def suspicions() -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """``docs`` without ``text``, with :data:`MEASURES`, ``base_failed``, ``host_rate`` and ``kept``."""
-    columns = [c for c in docs.columns if c != text]
-    measured = measure(docs, text)
+    """``docs`` without ``text``, with :data:`MEASURES`, ``base_failed``, ``host_rate`` and ``kept`` in place of columns
+    of these names."""
+    own = [*MEASURES, "base_failed", "host_rate", "kept"]  # documents may have such columns already
+    columns = [c for c in docs.columns if c != text and (c not in own or c == host)]
+    measured = measure(docs.select(text, *[c for c in columns if c != text]), text)
     measured = cut_lineage(measured.withColumn("base_failed", base_failed()).withColumn("__suspect", suspicions()))
     failed = (F.col("base_failed") | (F.col("__suspect") > 0)).cast("bigint")
     hosts = measured.groupBy(F.col(host).alias("__host")).agg(
