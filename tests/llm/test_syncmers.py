@@ -111,6 +111,13 @@ def test_short_texts_and_scripts_without_blanks(make_docs):
     assert likeness(make_docs, "", "").near == likeness(make_docs, "a", "a").near == 1.0
 
 
+def test_narrow_sketches(spark):
+    """Ends of the ranges of hashes and positions come back as they were."""
+    anchors = [[h << 25 | i << 1 for h, i in [(0, 0), (1, 65535), (2**31, 65536), (2**32 - 1, 2**24 - 1)]], [], None]
+    rows = spark.createDataFrame([(a,) for a in anchors], "a array<bigint>").select("a", syncmers._narrow("a").alias("n"))
+    assert [r.b for r in rows.select(syncmers._wide("n").alias("b")).collect()] == anchors
+
+
 def test_next_ids(spark):
     rows = spark.createDataFrame([(i, 1) for i in [5, -3, 9, 9, None, 200, 7]], "id bigint, take int")
     assert {r.id: r.next_id for r in syncmers.next_ids(rows).collect()} == {-3: 5, 5: 7, 7: 9, 9: 200, 200: -3}

@@ -88,6 +88,26 @@ def _position(anchor):
     return F.shiftright(anchor, 1).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
 
 
+def _narrow(sketch: str):
+    """A sketch in about six bytes an anchor for the way between tasks: hashes, and low and high parts of positions."""
+    return F.struct(
+        F.transform(sketch, lambda a: (_hash(a) - (1 << 31)).cast("int")).alias("hashes"),
+        F.transform(sketch, lambda a: (_position(a) % (1 << 16) - (1 << 15)).cast("smallint")).alias("low"),
+        F.transform(sketch, lambda a: (F.shiftright(_position(a), 16) - (1 << 7)).cast("tinyint")).alias("high"),
+    )
+
+
+def _wide(narrow: str):
+    """The sketch that :func:`_narrow` was given; null for null."""
+
+    def anchor(h, i):
+        low = F.get(f"{narrow}.low", i).cast("bigint") + (1 << 15)
+        high = F.get(f"{narrow}.high", i).cast("bigint") + (1 << 7)
+        return F.shiftleft(h.cast("bigint") + (1 << 31), _POSITION_BITS + 1) + F.shiftleft(F.shiftleft(high, 16) + low, 1)
+
+    return F.transform(f"{narrow}.hashes", anchor)
+
+
 def as_text(sketch: str):
     """Anchors in hexadecimal, 8 digits of hash and 6 of position each."""
     return F.array_join(F.transform(sketch, lambda a: F.lower(F.lpad(F.hex(F.shiftright(a, 1)), 14, "0"))), "")
@@ -147,12 +167,12 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
     following = next_ids(measured.select("id", "take")).withColumnRenamed("id", "for_id")
     heads = rows.join(following, rows["id"] == following["next_id"]).select("for_id", "take", "text")
     heads = with_sketch(heads, "text", "next_sketch").select(
-        "for_id", F.xxhash64("text").alias("h"), F.expr("substring(text, 1, take)").alias("head"), "next_sketch"
+        "for_id", F.xxhash64("text").alias("h"), F.expr("substring(text, 1, take)").alias("head"), _narrow("next_sketch").alias("s")
     )
     # of several rows with the next id one is taken; the rows are placed by for_id for the join below in any case
-    chosen = heads.groupBy("for_id").agg(F.min(F.struct("h", "head", "next_sketch")).alias("n"))
+    chosen = heads.groupBy("for_id").agg(F.min(F.struct("h", "head", "s")).alias("n"))
     joined = rows.join(chosen, rows["id"] == chosen["for_id"], "left").select(
-        "id", "text", F.col("n.head").alias("head"), F.col("n.next_sketch").alias("next_sketch")
+        "id", "text", F.col("n.head").alias("head"), _wide("n.s").alias("next_sketch")
     )
     nothing = F.lit(None)
     joined = joined.union(
