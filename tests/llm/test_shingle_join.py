@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from tests.llm.conftest import ODD_TEXTS
+from tests.llm.test_near_copies import plain_fingerprint
 from tidepane.llm import shingle_join
 
 
@@ -93,3 +94,19 @@ def test_many_short_texts_that_share_a_shingle(spark, make_docs):
     """They meet in one bucket; no more than pairs of near size are made of them."""
     texts = [f"all of these begin alike then {i} {i * 7} {i * 11} {i * 13}" for i in range(3000)]
     assert shingle_join.keep_one(make_docs(texts)).count() == len(texts)
+
+
+def test_near_fingerprints_are_linked(make_docs):
+    """The SimHash step alone links copies whose fingerprints are within its radius."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+        texts += [" ".join(base), " ".join([*base[:250], "new", *base[251:]])]
+    docs = make_docs(texts)
+    facts = shingle_join.signatures(docs, "text", "doc_id", 5, shingle_join.frequent(docs, "text", 5))
+    cls = {r.id: r.cls for r in facts.collect()}
+    links = {frozenset(r) for r in shingle_join._printed_alike(facts, docs, "text", 5).collect()}
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    near = [k for k in range(0, 24, 2) if (prints[k] ^ prints[k + 1]).bit_count() <= shingle_join.RADIUS]
+    assert near and links == {frozenset((cls[k], cls[k + 1])) for k in near}

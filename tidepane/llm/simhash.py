@@ -31,6 +31,16 @@ BITS = 64
 BLOCK = 1 << 15
 
 
+def hashes_fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of the hashes of a text's shingles, repeats included."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        octets = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    set_bits = np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little")
+    return int(set_bits.view("<u8")[0])
+
+
 def text_fingerprint(text: bytes, shingle: int = 3) -> int:
     """Unsigned fingerprint of a UTF-8 text: bit set if it is set in over half the shingle hashes."""
     words = text.lower().split()  # on bytes: A-Z only, and blanks U+0009-U+000D and U+0020 only
@@ -42,13 +52,7 @@ def text_fingerprint(text: bytes, shingle: int = 3) -> int:
     span = min(shingle, len(words))
     first, last = starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(first), BLOCK):
-        hashes = [digest(joined[a:b], 42) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK])]
-        octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits((2 * counts > len(first)).astype(np.uint8), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+    return hashes_fingerprint(np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), "<u8", len(first)))
 
 
 def fingerprint(text: str | Column, shingle: int = 3) -> Column:
@@ -64,10 +68,11 @@ def fingerprint(text: str | Column, shingle: int = 3) -> Column:
     return simhash(F.col(text) if isinstance(text, str) else text)
 
 
-def covering_masks(bits: int = BITS) -> list[int]:
-    """Seven masks of which one keeps none of any two given bits."""
-    vectors = [1 + i % 7 for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 8)]
+def covering_masks(bits: int = BITS, radius: int = 2) -> list[int]:
+    """Masks, seven for a radius of two, of which one keeps none of any ``radius`` given bits."""
+    last = (2 << radius) - 1
+    vectors = [1 + i % last for i in range(bits)]
+    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, last + 1)]
 
 
 def _signed(value: int) -> int:
@@ -101,6 +106,19 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def hub_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``u, v`` of fingerprints within ``radius`` bits, one of them the least of a bucket.
+
+    Every two fingerprints so near share a bucket; work is linear in it. For callers that have a way of their own for the
+    pairs of a bucket without its least one.
+    """
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(covering_masks(radius=radius))]
+    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("other")).filter("u < other").select("key", "u")
+    near = keyed.join(hubs, "key").filter((F.col("fp") != F.col("u")) & (F.expr("bit_count(fp ^ u)") <= radius))
+    return near.select("u", F.col("fp").alias("v")).distinct()
+
+
 def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``fp, component_id`` of each distinct fingerprint of ``rows``; the id is the smallest one of the component."""
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("rep")))
