@@ -110,3 +110,9 @@ def test_near_fingerprints_are_linked(make_docs):
     prints = [plain_fingerprint(t, 5) for t in texts]
     near = [k for k in range(0, 24, 2) if (prints[k] ^ prints[k + 1]).bit_count() <= shingle_join.RADIUS]
     assert near and links == {frozenset((cls[k], cls[k + 1])) for k in near}
+
+
+def test_pairs_only_where_a_shared_shingle_can_be_the_first(spark):
+    rows = spark.createDataFrame([(100, i, [0] * 8) for i in (0, 5, 11, 15)], "n bigint, i int, narrow array<bigint>")
+    met = rows.alias("a").join(rows.alias("b"), shingle_join._may_meet()).selectExpr("a.i AS i", "b.i AS j").collect()
+    assert {max(r) for r in met} == {0, 5, 11} and len(met) == 9
